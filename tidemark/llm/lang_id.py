@@ -138,12 +138,12 @@ def train(labelled: DataFrame) -> Model:
 def predict(docs: DataFrame, model: Model, passed: list[str]) -> DataFrame:
     """``passed`` columns of ``docs`` with lang_pred and score (posterior of the prediction)."""
     bounded_arrow(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     sent = passed if "text" in passed else [*passed, "text"]
     at_text, n_passed = sent.index("text"), len(passed)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, letters = shared.value, _letter_table()
+        m, letters = Model(**shared.value), _letter_table()
         for batch in batches:
             texts = [t or "" for t in batch.column(at_text).to_pylist()]
             pred, conf = [UNDETERMINED] * len(texts), np.zeros(len(texts))
