@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark import constants as C
 from tidemark.operators.lineage import Lineage
+from tidemark.scratch import written
 
 
 def _seconds(later: Column, earlier: Column) -> Column:
@@ -82,9 +83,10 @@ def severity_name(rank: Column) -> Column:
 def incidents(observations: DataFrame, changes: DataFrame, graph: Lineage, max_lead: float = C.MAX_LEAD_SECONDS) -> DataFrame:
     """The incident of each ``by`` group that has a candidate: its top one, what it affects, how severe it is."""
     by = list(graph.by)
-    top = rank_root_causes(observations, changes, graph, max_lead).filter("rank = 1").drop("rank")
+    # Symptoms are few and dear: what computes them must not run once for each use.
+    top = rank_root_causes(written(observations), changes, graph, max_lead).filter("rank = 1").drop("rank")
     targets = changes.select(*by, "change_ord", "targets")
-    top = top.join(targets, [*by, "change_ord"])
+    top = written(top.join(targets, [*by, "change_ord"]))
     # The first of the largest magnitudes, in the order of observation.
     worst = F.array_min(F.transform("explained", lambda o: F.struct((-o["magnitude"]).alias("k"), o["obs_ord"].alias("obs_ord"))))
     top = top.withColumn("worst", F.element_at(F.filter("explained", lambda o: o["obs_ord"] == worst["obs_ord"]), 1))

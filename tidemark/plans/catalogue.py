@@ -290,3 +290,324 @@ def inject_recall(spark, sf_dir):
         rows = evaluate.injected_recall(df, column, signature, change, 2000, _TRIALS, "o_orderkey").withColumn("dataset", F.lit(signature))
         out = rows if out is None else out.unionByName(rows)
     return evaluate.pooled(out)
+
+
+# Lineage, root causes, incidents --------------------------------------------------------
+
+_EDGES = [("raw", "clean"), ("clean", "fact"), ("fact", "revenue"), ("fact", "metrics"), ("revenue", "board"), ("metrics", "board"), ("side", "other"), ("region", "nation"), ("nation", "customer"), ("customer", "orders"), ("orders", "lineitem")]
+_EDGE_SQL = "e(src, dst) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _EDGES) + ")"
+_REACH_SQL = f"WITH RECURSIVE {_EDGE_SQL}, r(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)"
+_EXPOSURES = [
+    ("e.board", "board view", "dashboard", "high", None, "Ann", None, ["board"]),
+    ("e.api", "price api", "application", "high", None, "Bo", None, ["revenue"]),
+    ("e.nb", "notes", "notebook", "high", None, "", None, ["metrics"]),
+    ("e.ovr", "override", "dashboard", "medium", "critical", "", None, ["other"]),
+    ("e.ml", "model", "ml", None, None, "", None, ["metrics"]),
+    ("e.dash", "plain", "dashboard", None, None, "", None, ["side"]),
+    ("e.bad", "bad override", "analysis", "low", "urgent", "", None, ["side"]),
+    ("e.app", "app", "application", "low", None, "", None, ["clean"]),
+]
+_EXPOSURE_SQL = "x(unique_id, name, type, maturity, meta, owner) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in e[:6]) + ")" for e in _EXPOSURES) + ")"
+_DEPENDS_SQL = "dep(unique_id, parent) AS (VALUES " + ", ".join(f"('{e[0]}', '{p}')" for e in _EXPOSURES for p in e[7]) + ")"
+_CRITICALITY_SQL = (
+    "CASE WHEN lower(meta) IN ('low', 'medium', 'high', 'critical') THEN list_position(['low', 'medium', 'high', 'critical'], lower(meta)) "
+    "WHEN type = 'application' AND maturity = 'high' THEN 4 WHEN type IN ('application', 'ml') THEN 3 "
+    "WHEN type = 'dashboard' THEN CASE maturity WHEN 'low' THEN 1 WHEN 'high' THEN 3 ELSE 2 END WHEN type IN ('notebook', 'analysis') THEN 1 ELSE 2 END"
+)
+
+
+def _graph(spark):
+    return lineage(spark, _EDGES, _EXPOSURES)
+
+
+@query("lineage_closure", _REACH_SQL + " SELECT src, dst FROM r")
+def lineage_closure(spark, sf_dir):
+    return lineage(spark, _EDGES).reach
+
+
+@query("lineage_upstream", _REACH_SQL + " SELECT src AS id FROM r WHERE dst = 'board'")
+def lineage_upstream(spark, sf_dir):
+    return lineage(spark, _EDGES).upstream("board")
+
+
+@query("lineage_cycle", "SELECT * FROM (VALUES ('a', 'b'), ('a', 'c'), ('b', 'a'), ('b', 'c'), ('c', 'a'), ('c', 'b')) AS t(src, dst)")
+def lineage_cycle(spark, sf_dir):
+    return lineage(spark, [("a", "b"), ("b", "c"), ("c", "a")]).reach
+
+
+@query("blast_radius", _REACH_SQL + f", {_EXPOSURE_SQL}, {_DEPENDS_SQL}, hit AS (SELECT DISTINCT x.* FROM x JOIN dep USING (unique_id) WHERE parent = 'fact' OR parent IN (SELECT dst FROM r WHERE src = 'fact')) SELECT type, CAST(count(*) AS BIGINT) AS exposures, CAST(max({_CRITICALITY_SQL}) AS INT) AS max_criticality FROM hit GROUP BY type")
+def blast_radius(spark, sf_dir):
+    found = _graph(spark).exposures_below(spark.createDataFrame([("fact",)], "id string"))
+    return found.groupBy("type").agg(F.count(F.lit(1)).alias("exposures"), F.max("criticality").alias("max_criticality"))
+
+
+@query("data_nodes_below", _REACH_SQL + " SELECT DISTINCT dst AS id FROM r WHERE src = 'clean'")
+def data_nodes_below(spark, sf_dir):
+    return _graph(spark).data_nodes_below(spark.createDataFrame([("clean",)], "id string"))
+
+
+@query("exposure_criticality", f"WITH {_EXPOSURE_SQL} SELECT unique_id, CAST({_CRITICALITY_SQL} AS INT) AS criticality FROM x")
+def exposure_criticality(spark, sf_dir):
+    return with_criticality(_graph(spark).exposures).select("unique_id", "criticality")
+
+
+_FILES = [("fact", "model", "models/fact.sql"), ("dim", "model", "models/marts/dim.sql"), ("stage", "model", "./models/stage.sql")]
+_COMMITS = [
+    ("aaaaaaaa1", "2026-01-02 09:00:00", "fact and dim", ["models/fact.sql", "dbt/models/marts/dim.sql"]),
+    ("bbbbbbbb2", "2026-01-01 09:00:00", "backslashes", ["dbt\\models\\stage.sql", "README.md"]),
+    ("cccccccc3", "2026-01-03 09:00:00", "nothing known", ["docs/index.md", "xmodels/fact.sql"]),
+    ("dddddddd4", "2026-01-01 09:00:00", "dots", ["./models/fact.sql"]),
+]
+
+
+def _quoted_sql(v) -> str:
+    return "'" + str(v).replace("'", "''") + "'"
+
+
+_COMMIT_SQL = (
+    "n(id, path) AS (VALUES " + ", ".join(f"({_quoted_sql(a)}, ltrim({_quoted_sql(p)}, './'))" for a, _, p in _FILES) + "), "
+    "c(sha, ts, subject, file) AS (VALUES " + ", ".join(f"({_quoted_sql(s)}, TIMESTAMP {_quoted_sql(t)}, {_quoted_sql(m)}, {_quoted_sql(f)})" for s, t, m, fs in _COMMITS for f in fs) + "), "
+    "m AS (SELECT sha, ts, subject, id FROM (SELECT *, ltrim(replace(file, '\\', '/'), './') AS f FROM c) JOIN n ON f = path OR ends_with(f, '/' || path))"
+)
+
+
+def _commits(spark) -> DataFrame:
+    rows = spark.createDataFrame(_COMMITS, "sha string, ts string, subject string, files array<string>")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def _file_graph(spark):
+    return lineage(spark, [("stage", "fact"), ("stage", "dim")], nodes=[(a, "data", k, p) for a, k, p in _FILES])
+
+
+@query("change_events_from_commits", f"WITH {_COMMIT_SQL} SELECT substr(sha, 1, 7) AS change_id, ts, subject AS label, string_agg(DISTINCT id, ',' ORDER BY id) AS targets, CAST(row_number() OVER (ORDER BY ts, substr(sha, 1, 7)) - 1 AS INT) AS change_ord FROM m GROUP BY sha, ts, subject")
+def change_events_from_commits(spark, sf_dir):
+    return rca.derive_changes(_commits(spark), _file_graph(spark)).withColumn("targets", F.array_join("targets", ","))
+
+
+def _changes(spark, rows: list[tuple], by: str = "") -> DataFrame:
+    """(case,) id, time, targets, label."""
+    schema = (by + " string, " if by else "") + "change_id string, ts string, targets array<string>, label string, change_ord int"
+    keyed = [(*r, i) for i, r in enumerate(rows)]
+    return spark.createDataFrame(keyed, schema).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+_DECLARED = [("aaaaaaa", "2026-01-02 09:00:00", ["fact", "dim"], "declared twin"), ("manual", "2026-01-04 09:00:00", ["dim"], "by hand"), ("manual", "2026-01-04 09:00:00", ["dim"], "repeat")]
+
+
+@query("changes_union_dedup", f"WITH {_COMMIT_SQL}, g AS (SELECT substr(sha, 1, 7) AS change_id, ts, subject AS label, string_agg(DISTINCT id, ',' ORDER BY id) AS targets, row_number() OVER (ORDER BY ts, substr(sha, 1, 7)) AS o FROM m GROUP BY sha, ts, subject), "
+       "d(change_id, ts, targets, label, o) AS (VALUES " + ", ".join(f"('{i}', TIMESTAMP '{t}', '{','.join(sorted(x))}', '{b}', {k})" for k, (i, t, x, b) in enumerate(_DECLARED)) + "), "
+       "b AS (SELECT change_id, ts, targets, label, 0 AS l, o FROM d UNION ALL SELECT change_id, ts, targets, label, 1, o FROM g) SELECT change_id, ts, targets, label FROM b QUALIFY row_number() OVER (PARTITION BY change_id, targets, ts ORDER BY l, o) = 1")
+def changes_union_dedup(spark, sf_dir):
+    derived = rca.derive_changes(_commits(spark), _file_graph(spark))
+    out = rca.combine_changes(_changes(spark, _DECLARED), derived)
+    return out.select("change_id", "ts", F.array_join(F.sort_array("targets"), ",").alias("targets"), "label")
+
+
+@query("unknown_targets", "SELECT 'x' AS change_id, 'nowhere' AS target")
+def unknown_targets(spark, sf_dir):
+    return rca.unknown_targets(_changes(spark, [("x", "2026-01-01 00:00:00", ["fact", "nowhere"], "")]), _file_graph(spark))
+
+
+#: (case, edges, observed assets, changes as (id, time, target)); observed at ten; the first change is the cause.
+_CASES = [
+    ("direct_with_irrelevant_and_late", [("U", "X"), ("X", "Y"), ("V", "W")], ["X"], [("true", "09:55", "X"), ("irrelevant", "09:56", "W"), ("too_late", "10:05", "X")]),
+    ("closest_upstream_wins", [("U", "X"), ("X", "Y")], ["Y"], [("true", "09:50", "X"), ("far", "02:00", "U")]),
+    ("coverage_wins", [("A", "X"), ("A", "Z")], ["X", "Z"], [("true", "09:50", "A"), ("partial", "09:55", "X")]),
+    ("dense_concurrency", [("U", "X"), ("X", "Y"), ("V", "W"), ("P", "Q")], ["Y"], [("true", "09:58", "X"), ("noise_w", "09:58", "W"), ("noise_q", "09:59", "Q"), ("noise_v", "09:57", "V")]),
+    ("a_day_exactly", [("U", "X")], ["X"], [("edge", "10:00", "U")]),
+]
+_DAY = {"edge": "2026-01-01"}
+
+
+def _case_tables(spark):
+    edges = spark.createDataFrame([(c, a, b) for c, es, _, _ in _CASES for a, b in es], "case string, " + EDGE)
+    graph = lineage(spark, [("x", "y")])
+    nodes = edges.select("case", F.explode(F.array("src", "dst")).alias("id")).distinct().selectExpr("case", "id", "'data' AS kind", "cast(null AS string) AS resource_type", "cast(null AS string) AS original_file_path")
+    graph = type(graph)(nodes, edges, graph.exposures.withColumn("case", F.lit("")), by=("case",))
+    observed = [(c, a, "2026-01-02 10:00:00", i, "v", C.VALUE_SUBSTITUTION, 0.4, 0.9) for c, _, seen, _ in _CASES for i, a in enumerate(seen)]
+    observations = spark.createDataFrame(observed, "case string, asset string, observed_at string, obs_ord int, column string, signature string, magnitude double, confidence double")
+    observations = observations.withColumn("observed_at", F.col("observed_at").cast("timestamp_ntz"))
+    changes = _changes(spark, [(c, i, f"{_DAY.get(i, '2026-01-02')} {t}:00", [x], i) for c, _, _, cs in _CASES for i, t, x in cs], "case")
+    return observations, changes, graph
+
+
+_CASE_SQL = (
+    "WITH RECURSIVE e(c, src, dst) AS (VALUES " + ", ".join(f"('{c}', '{a}', '{b}')" for c, es, _, _ in _CASES for a, b in es) + "), "
+    "r(c, src, dst) AS (SELECT c, src, dst FROM e UNION SELECT r.c, r.src, e.dst FROM r JOIN e ON r.c = e.c AND r.dst = e.src), "
+    "o(c, asset) AS (VALUES " + ", ".join(f"('{c}', '{a}')" for c, _, seen, _ in _CASES for a in seen) + "), "
+    "h(c, change_id, ts, target) AS (VALUES " + ", ".join(f"('{c}', '{i}', TIMESTAMP '{_DAY.get(i, '2026-01-02')} {t}:00', '{x}')" for c, _, _, cs in _CASES for i, t, x in cs) + "), "
+    "j AS (SELECT h.c, change_id, ts, asset, epoch(TIMESTAMP '2026-01-02 10:00:00') - epoch(ts) AS lead FROM h JOIN o USING (c) WHERE (asset = target OR EXISTS (SELECT 1 FROM r WHERE r.c = h.c AND src = target AND dst = asset))), "
+    "s AS (SELECT j.c, change_id, ts, count(*) AS n, 0.6 * count(*) / (SELECT count(*) FROM o WHERE o.c = j.c) + 0.4 * avg(1 - lead / 86400) AS score, min(lead) AS min_lead FROM j WHERE lead BETWEEN 0 AND 86400 GROUP BY j.c, change_id, ts) "
+)
+
+
+@query("rca_rank", _CASE_SQL + "SELECT c AS \"case\", change_id, CAST(n AS BIGINT) AS n_explained, round(score, 6) AS score, CAST(min_lead AS DOUBLE) AS min_lead, CAST(row_number() OVER (PARTITION BY c ORDER BY score DESC, ts DESC) AS INT) AS rank FROM s")
+def rca_rank(spark, sf_dir):
+    ranked = rca.rank_root_causes(*_case_tables(spark))
+    return ranked.select("case", "change_id", "n_explained", F.round("score", 6).alias("score"), "min_lead", "rank")
+
+
+@query("rca_cases_top1", "SELECT CAST(4 AS BIGINT) AS cases, 1.0::DOUBLE AS top1")
+def rca_cases_top1(spark, sf_dir):
+    top = rca.rank_root_causes(*_case_tables(spark)).filter("rank = 1 AND case != 'a_day_exactly'")
+    return top.agg(F.count(F.lit(1)).alias("cases"), F.avg((F.col("change_id") == "true").cast("double")).alias("top1"))
+
+
+#: (case, model edges, exposures as (id, type, maturity, parent, override), changed, expected exposures, expected severity)
+_BLAST = [
+    ("dashboard_high", [("root", "leaf")], ("e.dash", "dashboard", "high", "leaf", None), "leaf", ["e.dash"], "high"),
+    ("application_critical", [("fact", "rev")], ("e.api", "application", "high", "rev", None), "fact", ["e.api"], "critical"),
+    ("override_critical", [("fact", "rev")], ("e.ovr", "dashboard", "medium", "rev", "critical"), "fact", ["e.ovr"], "critical"),
+    ("sibling_decoy", [("root", "a"), ("root", "b")], ("e.dash", "dashboard", "high", "b", None), "a", [], "medium"),
+    ("ancestor_decoy", [("up", "mid"), ("mid", "down")], ("e.dash", "dashboard", "high", "up", None), "mid", [], "high"),
+    ("notebook_no_escalation", [("fact", "rev")], ("e.nb", "notebook", "high", "rev", None), "fact", ["e.nb"], "high"),
+]
+
+
+def _blast_incidents(spark) -> DataFrame:
+    """Incidents of the blast-radius cases; the symptom is on the first asset below the changed one, else on that."""
+    edges, nodes, exposures, observed, changes = [], [], [], [], []
+    for case, es, (xid, kind, maturity, parent, override), changed, _, _ in _BLAST:
+        edges += [(case, a, b) for a, b in es] + [(case, parent, xid)]
+        nodes += [(case, x, "data", None, None) for x in dict.fromkeys(y for e in es for y in e)] + [(case, xid, "exposure", "exposure", None)]
+        exposures.append((case, xid, xid, kind, maturity, override, "", None, [parent]))
+        below = sorted(b for a, b in es if a == changed)
+        observed.append((case, below[0] if below else changed, "2026-01-02 10:00:00", 0, "v", C.VALUE_SUBSTITUTION, 0.4, 0.9))
+        changes.append((case, "c1", "2026-01-02 09:50:00", [changed], "deploy"))
+    from tidemark.operators.lineage import EXPOSURE, NODE, Lineage
+
+    graph = Lineage(spark.createDataFrame(nodes, "case string, " + NODE), spark.createDataFrame(edges, "case string, " + EDGE), spark.createDataFrame(exposures, "case string, " + EXPOSURE), ("case",))
+    rows = spark.createDataFrame(observed, "case string, asset string, observed_at string, obs_ord int, column string, signature string, magnitude double, confidence double")
+    return rca.incidents(rows.withColumn("observed_at", F.col("observed_at").cast("timestamp_ntz")), _changes(spark, changes, "case"), graph)
+
+
+@query("severity_escalation", "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{s}', '{','.join(x)}')" for c, _, _, _, x, s in _BLAST) + ") AS t(\"case\", severity, exposures)")
+def severity_escalation(spark, sf_dir):
+    found = F.array_join(F.transform(F.coalesce("exposures", F.array().cast("array<struct<order:int,name:string,unique_id:string,type:string,owner:string,criticality:int>>")), lambda e: e["unique_id"]), ",")
+    return _blast_incidents(spark).select("case", "severity", found.alias("exposures"))
+
+
+@query("eval_precision_recall", "SELECT CAST(4 AS BIGINT) AS tp, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall")
+def eval_precision_recall(spark, sf_dir):
+    found = _blast_incidents(spark).select("case", F.explode("exposures").alias("e")).select("case", F.col("e.unique_id").alias("id"))
+    expected = spark.createDataFrame([(c, x) for c, _, _, _, xs, _ in _BLAST for x in xs], "case string, id string")
+    return evaluate.set_scores(found, expected)
+
+
+_RENAMED = "SELECT * REPLACE (CASE WHEN c_mktsegment = 'BUILDING' THEN 'CONSTRUCTION' ELSE c_mktsegment END AS c_mktsegment) FROM customer"
+_SUBSTITUTED = O.value_substitution_sql("SELECT * FROM customer", _RENAMED, "c_mktsegment")
+
+
+def _observed_rename(spark, sf_dir) -> DataFrame:
+    df = table(spark, sf_dir, "customer")
+    found = compared(df, inject.substitute(df, "c_mktsegment", "BUILDING", "CONSTRUCTION"), ["c_mktsegment"], signatures=[C.VALUE_SUBSTITUTION])
+    found = with_confidence(found)
+    at = F.lit("2026-01-02 10:00:00").cast("timestamp_ntz")
+    return found.select(F.lit("customer").alias("asset"), at.alias("observed_at"), F.lit(0).alias("obs_ord"), "column", "signature", "magnitude", "confidence", "from_value", "to_value", "significance_margin", "log10_n")
+
+
+def _score_sql(magnitude: str, margin: str, log_n: str) -> str:
+    z = " + ".join(f"{w!r} * (({x}) - {m!r}) / {s!r}" for w, x, m, s in zip(C.MODEL_WEIGHTS, (magnitude, margin, log_n), C.MODEL_MEANS, C.MODEL_STDS))
+    return f"1 / (1 + exp(-({C.MODEL_INTERCEPT!r} + {z})))"
+
+
+_MAGNITUDE_SQL = "(SELECT count(*) FILTER (c_mktsegment = 'BUILDING') / CAST(count(*) AS DOUBLE) AS m, CAST(count(*) AS DOUBLE) AS n FROM customer)"
+_CONFIDENCE_SQL = _score_sql("m", "least(20, m / (3 * sqrt(m * (1 - m) * 2 / n)))", "log10(n)")
+
+
+@query("confidence_score", f"SELECT round(m, 6) AS magnitude, round(least(20, m / (3 * sqrt(m * (1 - m) * 2 / n))), 6) AS significance_margin, round(log10(n), 6) AS log10_n, round({_CONFIDENCE_SQL}, 6) AS confidence FROM {_MAGNITUDE_SQL}")
+def confidence_score(spark, sf_dir):
+    return _observed_rename(spark, sf_dir).select(*[F.round(c, 6).alias(c) for c in ("magnitude", "significance_margin", "log10_n", "confidence")])
+
+
+@query("incident_synthesis", f"SELECT 'customer' AS asset, x.\"column\", x.signature, x.magnitude, x.from_value, x.to_value, 'deploy-7' AS change_id, 'high' AS severity, 'lineitem,orders' AS affected, round({_CONFIDENCE_SQL}, 6) AS confidence, TIMESTAMP '2026-01-02 10:00:00' AS detected_at FROM ({_SUBSTITUTED}) x, {_MAGNITUDE_SQL}")
+def incident_synthesis(spark, sf_dir):
+    changes = _changes(spark, [("deploy-7", "2026-01-02 09:30:00", ["customer"], "rename segments"), ("deploy-6", "2025-12-30 09:00:00", ["nation"], "old"), ("deploy-5", "2026-01-02 09:45:00", ["side"], "elsewhere")])
+    found = rca.incidents(_observed_rename(spark, sf_dir), changes, lineage(spark, _EDGES))
+    w = lambda c: F.col(f"worst.{c}").alias(c)
+    return found.select(w("asset"), w("column"), w("signature"), F.round("worst.magnitude", 6).alias("magnitude"), w("from_value"), w("to_value"), "change_id", "severity", F.array_join("affected", ",").alias("affected"), F.round("worst.confidence", 6).alias("confidence"), "detected_at")
+
+
+# Calibration --------------------------------------------------------------------------
+
+_PAIR_SQL = "(SELECT doc_id, (doc_id * 37 % 101) / 100.0::DOUBLE AS p, CAST(quality AS INT) AS y FROM labels)"
+_BIN_SQL = f"(SELECT least(9, greatest(0, CAST(floor(p * 10) AS INT))) AS bin, count(*) AS n, avg(p) AS mp, avg(y) AS my FROM {_PAIR_SQL} GROUP BY 1)"
+
+
+def _label_pairs(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "labels").select("doc_id", (F.col("doc_id") * 37 % 101 / 100).alias("p"), F.col("quality").cast("int").alias("y"))
+
+
+@query("reliability_bins", f"SELECT CAST(i AS INT) AS bin, coalesce(n, 0) AS n, round(coalesce(mp, 0), 6) AS mean_p, round(coalesce(my, 0), 6) AS mean_y FROM (SELECT unnest(range(0, 10)) AS i) LEFT JOIN {_BIN_SQL} ON bin = i")
+def reliability_bins(spark, sf_dir):
+    rows = calibration.reliability_bins(_label_pairs(spark, sf_dir), "p", "y")
+    return rows.select("bin", "n", F.round("mean_p", 6).alias("mean_p"), F.round("mean_y", 6).alias("mean_y"))
+
+
+@query("reliability_summary", f"SELECT CAST(sum(n) AS BIGINT) AS n, (SELECT round(avg((p - y) ** 2), 6) FROM {_PAIR_SQL}) AS brier, round(sum(n * abs(mp - my)) / sum(n), 6) AS ece, round(max(abs(mp - my)), 6) AS mce, CAST(sum(n) FILTER (bin BETWEEN 2 AND 7) AS BIGINT) AS mid_range_n FROM {_BIN_SQL}")
+def reliability_summary(spark, sf_dir):
+    rows = calibration.reliability(_label_pairs(spark, sf_dir), "p", "y")
+    return rows.select("n", *[F.round(c, 6).alias(c) for c in ("brier", "ece", "mce")], "mid_range_n")
+
+
+@query("stratified_folds", "SELECT CAST(quality AS INT) AS y, CAST((k - 1) % 5 AS INT) AS fold, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY doc_id) AS k FROM labels) GROUP BY ALL")
+def stratified_folds(spark, sf_dir):
+    rows = calibration.stratified_folds(_label_pairs(spark, sf_dir), "y", "doc_id")
+    return rows.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
+
+
+# Incident history, gate -----------------------------------------------------------------
+
+_BATCHES = [
+    [("orders", "sig", "col", "c1", "first", "medium", 0.5, "t", "s", "2026-01-01 08:00:00", "2026-01-01 09:00:00", "2026-01-01 09:00:00"), ("parts", "sig", "col", "c1", "first", "low", None, "t", "s", "2026-01-01 08:00:00", "2026-01-01 09:00:00", "2026-01-01 09:00:00")],
+    [("orders", "sig", "other", "c1", "second", "high", 0.9, "t2", "s2", "2026-01-01 08:00:00", "2026-01-03 09:00:00", "2026-01-03 09:00:00"), ("orders", "sig2", "col", "c1", "first", "high", 0.7, "t", "s", None, None, "2026-01-02 09:00:00")],
+]
+_RECORD = "asset string, signature string, column_name string, change_id string, change_label string, severity string, confidence double, title string, summary string, change_at string, detected_at string, run_at string"
+_HISTORY_SQL = (
+    "WITH r(asset, signature, column_name, change_id, change_label, severity, confidence, title, summary, change_at, detected_at, run_at) AS (VALUES "
+    + ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in row) + ")" for batch in _BATCHES for row in batch)
+    + "), h AS (SELECT sha256(asset || chr(0) || signature || chr(0) || change_id) AS identity_key, asset, arg_min(column_name, run_at) AS column_name, arg_min(change_label, run_at) AS change_label, arg_max(severity, run_at) AS severity, arg_max(title, run_at) AS title, "
+    "min(run_at) AS first_seen_at, max(run_at) AS last_seen_at, max(detected_at) AS last_detected_at, CAST(count(*) AS INT) AS occurrences FROM r GROUP BY asset, signature, change_id) "
+)
+_HISTORY_COLUMNS = ["identity_key", "asset", "column_name", "change_label", "severity", "title", "first_seen_at", "last_seen_at", "occurrences"]
+_HISTORY_SELECT = "identity_key, asset, column_name, change_label, severity, title, CAST(first_seen_at AS TIMESTAMP) AS first_seen_at, CAST(last_seen_at AS TIMESTAMP) AS last_seen_at, occurrences"
+
+
+def _history(spark) -> DataFrame:
+    out = spark.createDataFrame([], store.SCHEMA)
+    for rows in _BATCHES:
+        new = spark.createDataFrame(rows, _RECORD)
+        for c in ("change_at", "detected_at", "run_at"):
+            new = new.withColumn(c, F.col(c).cast("timestamp_ntz"))
+        out = store.upserted(out, new)
+    return out
+
+
+@query("store_upsert", _HISTORY_SQL + f"SELECT {_HISTORY_SELECT} FROM h")
+def store_upsert(spark, sf_dir):
+    return _history(spark).select(*_HISTORY_COLUMNS)
+
+
+@query("store_history", _HISTORY_SQL + f"SELECT {_HISTORY_SELECT} FROM h WHERE asset = 'orders' ORDER BY last_detected_at DESC NULLS LAST, identity_key")
+def store_history(spark, sf_dir):
+    return store.history_of(_history(spark), "orders").select(*_HISTORY_COLUMNS)
+
+
+@query("store_prune", _HISTORY_SQL + f"SELECT {_HISTORY_SELECT} FROM h WHERE NOT CAST(last_seen_at AS TIMESTAMP) < TIMESTAMP '2026-01-02 00:00:00'")
+def store_prune(spark, sf_dir):
+    rows = _history(spark)
+    return rows.filter(~(F.col("last_seen_at") < F.lit(datetime(2026, 1, 2)).cast("timestamp_ntz"))).select(*_HISTORY_COLUMNS)
+
+
+@query("gate_worst_severity", "SELECT 'critical' AS worst, true AS failed")
+def gate_worst_severity(spark, sf_dir):
+    rows = _blast_incidents(spark)
+    rank = F.array_position(F.array(*[F.lit(s) for s in C.SEVERITIES]), F.col("severity"))
+    return rows.agg(F.max(rank).alias("r")).select(rca.severity_name(F.col("r").cast("int")).alias("worst"), (F.col("r") >= C.SEVERITIES.index("high") + 1).alias("failed"))
+
+
+@query("commit_range_targets", f"WITH {_COMMIT_SQL} SELECT id, CAST(count(DISTINCT sha) AS BIGINT) AS commits FROM m GROUP BY id")
+def commit_range_targets(spark, sf_dir):
+    rows = rca.derive_changes(_commits(spark), _file_graph(spark)).select("change_id", F.explode("targets").alias("id"))
+    return rows.groupBy("id").agg(F.countDistinct("change_id").alias("commits"))
