@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Letters whose lower case of the upper case is not their case folding, with stand-ins (private use) or foldings.
-_KEPT = {"ı": ""}
-_FOLDED = {"ẞ": "ss"}
+_KEPT = {"\u0131": "\ue000"}
+_FOLDED = {"\u1e9e": "ss"}
 
 
 def case_fold(c: Column) -> Column:
@@ -16,10 +16,11 @@ def case_fold(c: Column) -> Column:
         c = F.replace(c, F.lit(a), F.lit(b))
     for a, b in _KEPT.items():
         c = F.replace(c, F.lit(a), F.lit(b))
-    c = F.lower(F.upper(c))
+    # What stands between the two keeps the optimizer from dropping the inner one.
+    c = F.upper(c)
     for a, b in _KEPT.items():
         c = F.replace(c, F.lit(b), F.lit(a))
-    return c
+    return F.lower(c)
 
 
 def normal_spelling(c: Column) -> Column:
