@@ -129,8 +129,8 @@ def _settle(last: bool, seed: int):
         prob = rows["prob"].to_numpy()[order]
         size = size[order]
         fly = np.ones(len(prob), bool)
-        if last:
-            # Some of each size stay out of the flight, so that the landing can even out what it leaves.
+        if last or key[1].as_py() == 0:
+            # Some of each size stay out of all flights, so that the landing can even out what they leave.
             fly[np.unique(np.linspace(0, len(prob) - 1, LANDING).astype(int))] = False
         flown = prob[fly]
         _flight(flown, size[fly], np.random.default_rng([seed, int(tie.min()) & 0xFFFFFFFF, len(tie)]))
