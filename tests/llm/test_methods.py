@@ -130,7 +130,7 @@ def test_mix_meets_targets_and_balances(spark, sf_dir):
     finally:
         cube_mix.BLOCK, cube_mix.FAN_IN = keep
     for r in by:
-        assert abs(r["t"] - r["want"]) <= 60
+        assert abs(r["t"] - r["want"]) <= 200  # half of the largest document
         assert abs(r["n"] - r["all"] * r["want"] / r["size"]) <= 4
 
 
