@@ -150,11 +150,8 @@ def _q(side: str, i: int) -> Column:
 
 
 def _all_finite() -> Column:
-    out = F.lit(True)
-    for side in "bc":
-        for i in range(5):
-            out = out & is_finite(_q(side, i))
-    return out
+    both = F.concat("b.numeric.q", "c.numeric.q")
+    return F.coalesce((F.size(both) == 10) & F.forall(both, lambda x: is_finite(x)), F.lit(False))
 
 
 def _greatest(columns: list[Column]) -> Column:
@@ -184,22 +181,27 @@ def _unit_scale(df: DataFrame) -> DataFrame:
     return df.withColumn("s3", F.when(F.col("ok") & (is_mult | is_add), found)).drop("ok", "factor", "offset", "mult", "add", "reach")
 
 
-def quantile_distance() -> Column:
-    """Mean absolute quantile move over the baseline's spread; null where it has none."""
+def quantile_scale() -> Column:
+    """The baseline's spread, or its deviation where that is degenerate; null where both are."""
     floor = C.RELATIVE_SPREAD_EPS * F.greatest(F.abs(_q("b", 2)), F.lit(1.0))
     spread, deviation = _q("b", 4) - _q("b", 0), F.col("b.numeric.stddev")
-    scale = F.when(spread > floor, spread).when(deviation > floor, deviation)
+    return F.when(spread > floor, spread).when(deviation > floor, deviation)
+
+
+def quantile_distance(scale: Column | None = None) -> Column:
+    """Mean absolute quantile move over the baseline's scale; null where it has none."""
+    scale = quantile_scale() if scale is None else scale
     moved = sum((F.abs(_q("c", i) - _q("b", i)) for i in range(5)), F.lit(0.0)) / 5
-    distance = moved / scale
-    return F.when(_all_finite() & is_finite(distance), distance)
+    # Finite quantiles over a scale above zero give a finite distance, unless the sum overflows.
+    return F.when(_all_finite() & (moved < F.lit(float("inf"))), moved / scale)
 
 
 def _distribution_shift(df: DataFrame, threshold: float | Column) -> DataFrame:
-    df = df.withColumn("distance", quantile_distance())
+    df = df.withColumn("scale", quantile_scale()).withColumn("distance", quantile_distance(F.col("scale")))
     limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     least = F.greatest(limit, quantile_noise(F.col("b.numeric.count"), F.col("c.numeric.count")))
     found = _symptom(C.DISTRIBUTION_SHIFT, magnitude=F.least(F.lit(1.0), F.col("distance")), distance=F.col("distance"), median_shift=_q("c", 2) - _q("b", 2))
-    return df.withColumn("s4", F.when(F.col("distance") >= least, found)).drop("distance")
+    return df.withColumn("s4", F.when(F.col("distance") >= least, found)).drop("distance", "scale")
 
 
 def detect(

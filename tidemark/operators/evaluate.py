@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark import constants as C
 from tidemark.operators.detect import detect, with_confidence
 from tidemark.operators.inject import two_sample_splits
 from tidemark.operators.profile import profile
@@ -35,10 +36,10 @@ def operating_point(table: DataFrame, max_fp: float = 0.0) -> DataFrame:
     return middle.unionByName(rest).orderBy("choice").limit(1).drop("choice")
 
 
-def trial_symptoms(before: DataFrame, after: DataFrame, columns: Sequence[str], precedence: bool = True) -> DataFrame:
+def trial_symptoms(before: DataFrame, after: DataFrame, columns: Sequence[str], signatures: Sequence[str] = C.DETECTORS) -> DataFrame:
     """Symptoms of all trials, from one profile job for each side."""
     b, a = (profile(df, columns, side=s, by=["trial"]) for df, s in ((before, "before"), (after, "after")))
-    return with_confidence(detect(b, a, by=["trial"], precedence=precedence))
+    return with_confidence(detect(b, a, by=["trial"], signatures=signatures))
 
 
 def real_vs_real(df: DataFrame, columns: Sequence[str], n: int, trials: int, key: str, *, seed: int = 0) -> DataFrame:
@@ -54,7 +55,9 @@ def real_vs_real(df: DataFrame, columns: Sequence[str], n: int, trials: int, key
 def injected_recall(df: DataFrame, column: str, signature: str, inject, n: int, trials: int, key: str, *, seed: int = 0) -> DataFrame:
     """(trial, hit, confidence) for an injection into the second half of each trial."""
     before, after = two_sample_splits(df.select(key, column), n, trials, key, seed=seed)
-    found = trial_symptoms(before, inject(after), [column]).filter(F.col("signature") == signature)
+    # Of the others only those matter that could silence it.
+    asked = [s for s in C.DETECTORS if s == signature or C.SUPPRESSES.get(s) == signature]
+    found = trial_symptoms(before, inject(after), [column], asked).filter(F.col("signature") == signature)
     every = df.sparkSession.range(trials).select(F.col("id").cast("int").alias("trial"))
     out = every.join(found.select("trial", "confidence"), "trial", "left")
     return out.select("trial", F.col("confidence").isNotNull().alias("hit"), "confidence")

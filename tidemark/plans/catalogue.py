@@ -14,6 +14,7 @@ from tidemark.operators.detect import detect, detect_pairs, pair, quantile_dista
 from tidemark.operators.lineage import EDGE, lineage, with_criticality
 from tidemark.operators.profile import compared_columns, coverage, frequencies, profile, sorted_quantiles, value_shares
 from tidemark.plans import oracle as O
+from tidemark.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -288,6 +289,7 @@ def inject_recall(spark, sf_dir):
     out = None
     for signature, column, change in recipes:
         rows = evaluate.injected_recall(df, column, signature, change, 2000, _TRIALS, "o_orderkey").withColumn("dataset", F.lit(signature))
+        rows = written(rows)
         out = rows if out is None else out.unionByName(rows)
     return evaluate.pooled(out)
 
