@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import bounded_arrow
 
 #: Bytes of text per range of documents, and the bound on the number of ranges.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
 MOST_RANGES = 8192
 #: Longest leaf in bytes; a text without blanks is cut there.
 MOST_LEAF = 1024
@@ -197,5 +197,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     copy = F.struct(F.get(befores, F.col("at")).alias("at"), F.lit(1).alias("extra"))
     to = F.when(F.col("key") == F.get(firsts, F.col("at")), F.array(own, copy)).otherwise(F.array(own))
     rows = rows.withColumn("to", F.explode(to)).select("to.at", "to.extra", "key", "doc_id", "text")
-    rows = rows.repartition(n, "at").sortWithinPartitions("at", "extra", "key", "text")
+    rows = rows.repartitionById(n, F.col("at")).sortWithinPartitions("at", "extra", "key", "text")
     return rows.select("at", "extra", F.col("doc_id").cast("long"), "text").mapInArrow(_walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
