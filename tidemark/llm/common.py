@@ -1,21 +1,19 @@
-"""Shared helpers: scratch tables, bounded Arrow batches, word splitting."""
+"""Shared helpers: tables, bounded Arrow batches, lower-casing."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.scratch import release, scratch_root, written
+
+__all__ = ["ascii_lower", "blocks_for", "bounded_arrow", "release", "scan_id", "scratch_root", "table", "written"]
+
 #: Upper bound of the bytes handed to a Python worker in one Arrow batch.
 ARROW_BATCH_BYTES = 8 << 20
 #: Rows per Arrow batch; whichever bound is met first closes the batch.
 ARROW_BATCH_ROWS = 4096
 
-_roots: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,41 +25,6 @@ def bounded_arrow(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """This application's folder below the shared checkpoint folder.
-
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``. A
-    temporary folder stands in where that is unset, as in local tests.
-    """
-    app = spark.sparkContext.applicationId
-    if app not in _roots:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        if not shared:
-            shared = tempfile.mkdtemp(prefix="tidemark-")
-        _roots[app] = f"{shared.rstrip('/')}/tidemark-{app}"
-        atexit.register(release, spark)
-    return _roots[app]
-
-
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables of this application (also done at exit)."""
-    root = _roots.pop(spark.sparkContext.applicationId, None) if spark.sparkContext._jsc else None
-    if root:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there.
-
-    A lost executor then costs a re-read instead of a recomputation, and steps
-    with several consumers are computed once.
-    """
-    path = f"{scratch_root(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def blocks_for(total_bytes: int, block_bytes: int, least: int = 8) -> int:
     """Number of equal blocks that keeps each near ``block_bytes``."""
     return max(least, -(-int(total_bytes or 0) // block_bytes))
