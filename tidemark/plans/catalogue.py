@@ -123,13 +123,18 @@ def quantiles_by_group(spark, sf_dir):
     return rows.select("l_returnflag", *[F.round(F.get("q", F.lit(i)), 6).alias(n) for i, n in enumerate(C.QUANTILE_NAMES)])
 
 
+# A signature and the one that would silence it.
+_TEXT = (C.VALUE_SUBSTITUTION, C.CASE_FORMAT)
+_NUMBERS = (C.UNIT_SCALE, C.DISTRIBUTION_SHIFT)
+
+
 # Signatures ---------------------------------------------------------------------------
 
 
 @query("sig_value_substitution", O.value_substitution_sql("SELECT * FROM customer", "SELECT * REPLACE (CASE WHEN c_mktsegment = 'BUILDING' THEN 'CONSTRUCTION' ELSE c_mktsegment END AS c_mktsegment) FROM customer", "c_mktsegment"))
 def sig_value_substitution(spark, sf_dir):
     df = table(spark, sf_dir, "customer")
-    return symptom_rows(compared(df, inject.substitute(df, "c_mktsegment", "BUILDING", "CONSTRUCTION"), ["c_mktsegment"]))
+    return symptom_rows(compared(df, inject.substitute(df, "c_mktsegment", "BUILDING", "CONSTRUCTION"), ["c_mktsegment"], signatures=_TEXT))
 
 
 _FEW = "SELECT * FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 120)"
@@ -169,19 +174,19 @@ def sig_merge(spark, sf_dir):
 @query("sig_distribution_shift", O.distribution_shift_sql("SELECT * FROM orders", "SELECT * REPLACE (CASE WHEN o_totalprice > 250000 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice) FROM orders", "o_totalprice"))
 def sig_distribution_shift(spark, sf_dir):
     df = table(spark, sf_dir, "orders")
-    return symptom_rows(compared(df, inject.stretch(df, "o_totalprice", 250000.0, 2.0), ["o_totalprice"]))
+    return symptom_rows(compared(df, inject.stretch(df, "o_totalprice", 250000.0, 2.0), ["o_totalprice"], signatures=_NUMBERS))
 
 
 @query("sig_unit_scale_mult", O.unit_scale_sql("SELECT * FROM lineitem", "SELECT * REPLACE (l_extendedprice * 100 AS l_extendedprice) FROM lineitem", "l_extendedprice"))
 def sig_unit_scale_mult(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem")
-    return symptom_rows(compared(df, inject.scale(df, "l_extendedprice", 100.0), ["l_extendedprice"]))
+    return symptom_rows(compared(df, inject.scale(df, "l_extendedprice", 100.0), ["l_extendedprice"], signatures=_NUMBERS))
 
 
 @query("sig_unit_scale_add", O.unit_scale_sql("SELECT * FROM orders", "SELECT * REPLACE (o_totalprice + 200000 AS o_totalprice) FROM orders", "o_totalprice"))
 def sig_unit_scale_add(spark, sf_dir):
     df = table(spark, sf_dir, "orders")
-    return symptom_rows(compared(df, inject.scale(df, "o_totalprice", 1.0, 200000.0), ["o_totalprice"]))
+    return symptom_rows(compared(df, inject.scale(df, "o_totalprice", 1.0, 200000.0), ["o_totalprice"], signatures=_NUMBERS))
 
 
 _MANY = "SELECT * REPLACE (lower(o_orderpriority) AS o_orderpriority, o_totalprice * 100 AS o_totalprice, CASE WHEN o_orderstatus = 'F' THEN 'FINAL' ELSE o_orderstatus END AS o_orderstatus) FROM orders"
