@@ -78,6 +78,14 @@ def test_pii(stored, empty):
     assert pii.report(empty).count() == 0
 
 
+@pytest.mark.parametrize("text", ["joe (at) " + "b." * 10000 + "com", "a@" + "b." * 10000 + "com", "1" * 20000, "1." * 10000 + "1", "+1" + "2-" * 10000 + "3"])
+def test_pii_long_matches(spark, text):
+    """One match over a whole long text needs neither deep stacks nor quadratic time."""
+    (r,) = pii.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    base = brute.base_spans(text)
+    assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+
+
 def test_simhash(stored, empty):
     rows = simhash.near_duplicates(stored).collect()
     assert len(rows) == N

@@ -43,8 +43,8 @@ _EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-
 _IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-# Candidates beyond the base.
-_MASKED = r"(?i)(?<![a-z0-9._-])[a-z0-9._-]++\s?(?:\(at\)|\[at\]|\{at\})\s?[a-z0-9-]++(?:\s?(?:\(dot\)|\[dot\]|\{dot\}|\.)\s?[a-z0-9-]++)+"
+# Candidates beyond the base. Possessive here too: a greedy run of groups needs stack for each.
+_MASKED = r"(?i)(?<![a-z0-9._-])[a-z0-9._-]++\s?(?:\(at\)|\[at\]|\{at\})\s?[a-z0-9-]++(?:\s?(?:\(dot\)|\[dot\]|\{dot\}|\.)\s?[a-z0-9-]++)++"
 _LOCAL = r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{2,4}[\x20.-][0-9]{2,4}(?:[\x20.-][0-9]{2,4})?(?![0-9A-Za-z])"
 _SECRET = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?i)(?<![a-z])(?:password|passwd|secret|token|api[_-]?key)\x20?[=:]\x20?\"?[^\s\"]{8,200}\"?"
 _ID = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
