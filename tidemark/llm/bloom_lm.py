@@ -119,12 +119,14 @@ def _count_blocks(shard_bits: int):
     shift = np.uint64(64 - shard_bits)
 
     def cut(kind: int, block: int, keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
-        ends = np.searchsorted(keys >> shift, np.arange(1 << shard_bits, dtype=np.uint64), "right")
-        out, start = [], 0
-        for shard, end in enumerate(ends.tolist()):
-            if end > start:
-                out.append(_row(kind, shard, block, 0, 0, _pack_sorted(keys[start:end]), _planes(counts[start:end].astype(np.uint32))))
-            start = end
+        if not len(keys):
+            return []
+        shards = keys >> shift
+        # Only shards that the block has words of: at most as many as words, however many there are.
+        starts = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]])
+        out = []
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)]):
+            out.append(_row(kind, int(shards[start]), block, 0, 0, _pack_sorted(keys[start:end]), _planes(counts[start:end].astype(np.uint32))))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
