@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import without, written
 
 #: Shortest run of lines whose later copies are deleted.
 MIN_LINES = 2
@@ -85,8 +85,8 @@ def cleaned(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     runs = repeated_runs(docs, min_lines).select(F.col("doc_id").alias("run_id"), F.col("text_hash").alias("run_hash"), "runs")
     rows = rows.join(runs, doc_id.eqNullSafe(F.col("run_id")) & (F.xxhash64(text) == F.col("run_hash")), "left")
     lines = F.split(text, "\n")
-    kept = F.filter(lines, lambda _, i: ~F.exists("runs", lambda r: (r["a"] <= i) & (i <= r["b"])))
-    clean = F.when(F.col("runs").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    gone = F.flatten(F.transform("runs", lambda r: F.sequence(r["a"], r["b"])))
+    clean = F.when(F.col("runs").isNull(), text).otherwise(F.array_join(without(lines, gone), "\n"))
     return rows.select(*names, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), "runs", clean.alias("clean_text"))
 
 
