@@ -1,7 +1,8 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
-Each step is a join and an aggregation with map-side combine: no group of links is
-ever gathered in one task, and nothing but two numbers a round reaches the driver.
+Each step is a join and an aggregation with map-side combine. The centre of a large
+star is a hot key of the join and is broadcast: no group of links is ever gathered in
+one task, and nothing but two numbers a round reaches the driver.
 """
 
 from __future__ import annotations
@@ -9,20 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import join_counted, written
 
 
-def _large_star(links: DataFrame) -> DataFrame:
-    """Connect every larger neighbour of a node to the least node around it."""
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+def _large_star(links: DataFrame, total: int) -> DataFrame:
+    """Connect every larger neighbour of a node to the least node around it (links hold a > b)."""
+    up = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    least = links.unionByName(up).groupBy("a").agg(F.min("b").alias("least"), F.count_if(F.col("b") > F.col("a")).alias("n"))
+    least = written(least.select("a", F.least("a", "least").alias("least"), "n"))
+    return join_counted(up, least, "a", total).select(F.col("b").alias("a"), F.col("least").alias("b"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, total: int) -> DataFrame:
     """Connect a node and its smaller neighbours to the least of them (links hold a > b)."""
-    least = links.groupBy("a").agg(F.min("b").alias("least"))
-    down = links.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    least = written(links.groupBy("a").agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("n")))
+    down = join_counted(links, least, "a", total).select(F.col("b").alias("a"), F.col("least").alias("b"))
     return down.unionByName(least.select("a", F.col("least").alias("b"))).filter("a > b").distinct()
 
 
@@ -41,7 +43,7 @@ def components(links: DataFrame) -> DataFrame:
 
     now = state(links)
     while True:
-        links = written(_small_star(_large_star(links)))
+        links = written(_small_star(written(_large_star(links, now[0])), now[0]))
         was, now = now, state(links)
         if now == was:
             break

@@ -9,7 +9,9 @@ replicated to every anchor whose blocks lie within covering radius plus that blo
 part of the threshold, so that it meets the home of each fingerprint it links with.
 Pairs are compared per anchor only.
 
-Equal fingerprints are one node from the start, so groups of copies cost nothing.
+Equal fingerprints are one node from the start, so groups of copies cost nothing;
+where documents meet the component of a fingerprint that very many of them share, it is
+broadcast.
 Within an anchor, links are reduced to a spanning forest before they leave the task;
 an anchor with very many homes is searched by enumerating the ball of 2,081 words
 around each home instead of comparing all pairs.
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import blocks_for, bounded_arrow, written
+from tidemark.llm.common import blocks_for, bounded_arrow, join_counted, written
 from tidemark.llm.components import components
 
 THRESHOLD = 2
@@ -220,13 +222,13 @@ def links(distinct: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for every row: component_id is the smallest doc_id reachable over links."""
     fps = written(fingerprints(docs))
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = written(components(links(nodes)))
-    linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
-    tops = linked.groupBy("root").agg(F.min("least").alias("top"))
-    of_fp = linked.join(tops, "root").select("fp", "top")
-    of_fp = nodes.join(of_fp, "fp", "left").select("fp", F.coalesce("top", "least").alias("component_id"))
-    return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    linked = written(nodes.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "least", "root"))
+    tops = written(linked.groupBy("root").agg(F.min("least").alias("top"), F.count(F.lit(1)).alias("n")))
+    of_fp = join_counted(linked, tops, "root", linked.count()).select("fp", "top")
+    of_fp = written(nodes.join(of_fp, "fp", "left").select("fp", F.coalesce("top", "least").alias("component_id"), "n"))
+    return join_counted(fps, of_fp, "fp", fps.count()).select("doc_id", "fp", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
