@@ -34,6 +34,8 @@ def components(links: DataFrame) -> DataFrame:
     Links may repeat and may lead from a node to itself; null ends are left out. The
     number of rounds grows with the logarithm of the longest path.
     """
+    # Read twice below, and dear to find.
+    links = written(links.select("a", "b"))
     ordered = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.isnull("a") | F.isnull("b"))
     nodes_alone = links.filter("a = b").select(F.col("a").alias("node")).distinct()
     links = written(ordered.toDF("a", "b", "lost").filter("NOT lost AND a > b").select("a", "b").distinct())
