@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import near_copies
 from tidemark.llm.common import blocks_for, bounded_arrow, join_counted, written
 from tidemark.llm.components import components
 
@@ -232,12 +233,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id.
+    """One document of each group of near copies: the one with the smallest doc_id.
 
-    Rows that repeat a doc_id count as one document; rows without a doc_id, which a
+    Near copies have a Jaccard similarity of 0.8 or more over 5-word shingles, where
+    fingerprints differ in up to 11 bits and more; they are found by ``near_copies`` and
+    not by fingerprints, so that none is missed. Rows that repeat a doc_id count as one document; rows without a doc_id, which a
     group cannot name, are all kept.
     """
-    kept = near_duplicates(docs.filter("doc_id IS NOT NULL")).filter("doc_id = component_id")
+    kept = near_copies.grouped(docs.filter("doc_id IS NOT NULL")).filter("doc_id = component_id")
     kept = kept.select(F.col("doc_id").alias("kept_id")).distinct()
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = names[docs.columns.index("doc_id")]
