@@ -44,3 +44,13 @@ def test_near_copies_of_the_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     want = kept_by_all_pairs({r["doc_id"]: r["text"] for r in docs.collect()})
     assert {r["doc_id"] for r in simhash.keep_one_of_each(docs).collect()} == want
+
+
+def test_unlike_texts_of_one_id_are_kept(spark):
+    rows = [(1, "one text of some six words", "b"), (1, "quite another text of seven words here", "a"), (1, "one text of some six words", "a"), (2, "one text of some six words", "a")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, source string").repartition(3)
+        got = sorted(map(tuple, simhash.keep_one_of_each(docs).collect()))
+        assert [r[:2] for r in got] == sorted({r[:2] for r in rows[:2]})
+        first = got if order is rows else first
+        assert got == first

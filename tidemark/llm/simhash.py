@@ -28,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import near_copies
@@ -237,14 +237,19 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
 
     Near copies have a Jaccard similarity of 0.8 or more over 5-word shingles, where
     fingerprints differ in up to 11 bits and more; they are found by ``near_copies`` and
-    not by fingerprints, so that none is missed. Rows that repeat a doc_id count as one document; rows without a doc_id, which a
-    group cannot name, are all kept.
+    not by fingerprints, so that none is missed. Rows that repeat doc_id and text count as
+    one document, of which the row whose columns hash least stays; rows of one doc_id and
+    unlike texts are told apart. Rows without a doc_id, which a group cannot name, are all
+    kept.
     """
-    kept = near_copies.grouped(docs.filter("doc_id IS NOT NULL")).filter("doc_id = component_id")
-    kept = kept.select(F.col("doc_id").alias("kept_id")).distinct()
+    found = near_copies.grouped(docs.filter("doc_id IS NOT NULL"))
+    kept = found.filter(F.struct("doc_id", "text_hash") == F.col("top")).select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
     names = [f"c{i}" for i in range(len(docs.columns))]
-    at = names[docs.columns.index("doc_id")]
-    rows = docs.toDF(*names)
-    kept_rows = rows.join(kept, F.col(at) == F.col("kept_id"), "left_semi").dropDuplicates([at])
-    kept_rows = kept_rows.unionByName(rows.filter(F.col(at).isNull()))
+    at, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    rows = docs.toDF(*names).withColumn("text_hash", F.xxhash64(text))
+    fixed = F.xxhash64(*[F.to_json(F.struct(n)) for n in names if n != text])
+    order = Window.partitionBy(at, "text_hash").orderBy(fixed)
+    same = (F.col(at) == F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash"))
+    kept_rows = rows.join(kept, same, "left_semi").withColumn("place", F.row_number().over(order)).filter("place = 1")
+    kept_rows = kept_rows.select(*names).unionByName(rows.filter(F.col(at).isNull()).select(*names))
     return kept_rows.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
