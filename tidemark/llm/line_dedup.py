@@ -7,12 +7,13 @@ follow. Ranks are given by a range-partitioned sort of the distinct pairs, never
 a window over everything, and suffixes whose rank is theirs alone drop out before
 the next round.
 
-Suffixes of equal rank at depth ``min_lines`` are a longest-common-prefix interval of
-at least that length. In each interval the first suffix in the order of the corpus
-is the original; the lines under all others are later copies. Overlapping and
-adjoining copies make up the maximal repeated runs of a document, which are
-deleted. Deeper ranks would not change what is deleted: a longer common prefix is
-covered by intervals of depth ``min_lines`` at its own places.
+Doubling stops at depth ``min_lines``: no suffix order is completed and no length of a
+common prefix is computed. Of the suffixes of equal rank at that depth the first in the
+order of the corpus is the original; the lines under all others are later copies.
+Overlapping and adjoining copies are merged to islands, which are deleted and reported
+as runs; an island may join copies of different originals and occur nowhere earlier as
+a whole. Deeper ranks would not change what is deleted: the lines of a longer repeat
+are covered by repeats of depth ``min_lines`` at their own places.
 
 Edge cases: null text has no lines and stays; an empty text is one empty line; runs
 do not cross documents; rows that repeat both doc_id and text are one document;
@@ -68,7 +69,7 @@ def suffix_ranks(docs: DataFrame, depth: int) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc_id, text_hash, runs): for each document with later copies, its maximal runs (a, b) of such lines."""
+    """(doc_id, text_hash, runs): for each document with later copies, the islands (a, b) of such lines."""
     copies = suffix_ranks(docs, min_lines).filter(F.struct(*KEY, "i") != F.col("first"))
     order = Window.partitionBy(*KEY).orderBy("i")
     gap = F.col("i") - F.lag("i").over(order) > min_lines
