@@ -46,7 +46,7 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Candidates beyond the base. Possessive here too: a greedy run of groups needs stack for each.
 _MASKED = r"(?i)(?<![a-z0-9._-])[a-z0-9._-]++\s?(?:\(at\)|\[at\]|\{at\})\s?[a-z0-9-]++(?:\s?(?:\(dot\)|\[dot\]|\{dot\}|\.)\s?[a-z0-9-]++)++"
 _LOCAL = r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{2,4}[\x20.-][0-9]{2,4}(?:[\x20.-][0-9]{2,4})?(?![0-9A-Za-z])"
-_SECRET = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?i)(?<![a-z])(?:password|passwd|secret|token|api[_-]?key)\x20?[=:]\x20?\"?[^\s\"]{8,200}\"?"
+_SECRET = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?i)(?<![a-z])(?:password|passwd|secret|token|api[_-]?key)\x20?[=:]\x20?\"?[^\s\"]{8,}+\"?"
 _ID = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 
 #: (kind, base, cheap test of the text, pattern)
@@ -120,7 +120,7 @@ NO_MATCHES = "cast(array() AS array<struct<pattern: int, kind: int, base: boolea
 def matches(docs: DataFrame) -> DataFrame:
     """(row_key, doc_id, found): for each row the matches of all patterns, in text order by pattern."""
     rows = docs.select(scan_id().alias("row_key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    hot = r"text RLIKE '[0-9@]|(?i)[(\\\\[{]at[)\\\\]}]|(?:word|passwd|secret|token|key) ?[=:]'"
+    hot = r"text RLIKE '[0-9@]|AKIA|(?i)[(\\\\[{]at[)\\\\]}]|(?:word|passwd|secret|token|key) ?[=:]'"
     lists = []
     for i, (kind, base, test, pattern) in enumerate(PATTERNS):
         p, known = _text(pattern), f"({hot}) AND ({test})"
