@@ -144,14 +144,22 @@ def _settle(last: bool, seed: int):
     return block
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """Hash of all columns by position; of what has no hash of its own (maps), that of its JSON."""
+    parts = []
+    for f in docs.schema.fields:
+        c = F.col(f"`{f.name}`")
+        parts.append(F.to_json(F.struct(c)) if "map<" in f.dataType.simpleString() else c)
+    return F.xxhash64(*parts)
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST_COPIES, seed: int = 7) -> DataFrame:
     """(row_key, doc_id, source, size, source_size, target, copies, taken), a row per row of ``docs``.
 
     ``row_key`` is a hash of the row's content; draws and blocks follow it alone,
     so that reruns agree however the rows are dealt over tasks.
     """
-    key = F.xxhash64(*[F.col(c) for c in docs.columns])
-    sized = written(docs.select(key.alias("row_key"), "doc_id", "source", word_count(F.col("text")).alias("size")))
+    sized = written(docs.select(_row_key(docs).alias("row_key"), "doc_id", "source", word_count(F.col("text")).alias("size")))
     targets = written(source_targets(sized, weights, budget, most))
     largest = targets.agg(F.max("n_docs")).first()[0] or 0
     levels = [max(1, -(-largest // BLOCK))]
@@ -186,10 +194,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The documents that the mix takes, each once, with ``copies``: how often it is to be read.
 
-    Rows that repeat each other in every column come as one row with their copies added up.
+    Rows that repeat each other in every column come as one row with their copies added
+    up. Where ``docs`` has a column ``copies``, the new one has underscores at its end.
     """
-    plan = mix(docs, **options).filter("copies > 0").groupBy("row_key").agg(F.sum("copies").alias("mix_copies"))
-    keyed = docs.withColumn("mix_row_key", F.xxhash64(*[F.col(c) for c in docs.columns]))
-    taken = keyed.join(plan.withColumnRenamed("row_key", "mix_row_key"), "mix_row_key")
-    taken = taken.dropDuplicates(["mix_row_key"])
-    return taken.select(*docs.columns, F.col("mix_copies").alias("copies"))
+    def free(name: str) -> str:
+        while name in {c.lower() for c in docs.columns}:
+            name += "_"
+        return name
+
+    # Columns keep their names: aliases of all that the key hashes would be substituted in it, in every combination.
+    key, added = free("mix_row_key"), free("copies")
+    plan = mix(docs, **options).filter("copies > 0").groupBy(F.col("row_key").alias(key)).agg(F.sum("copies").alias(added))
+    return docs.withColumn(key, _row_key(docs)).join(plan, key).dropDuplicates([key]).select(*docs.columns, added)

@@ -4,6 +4,12 @@ Texts are folded to lower-case letters with one blank between words; n-grams of
 one to three characters are hashed to ``buckets``. Training adds up bucket counts
 of all labelled rows; the matrix of log probabilities (languages x buckets) has a
 fixed size bound and is broadcast. Scoring looks n-grams up in it, batch by batch.
+Orders overlap, so the evidence of an n-gram counts a third: this tempers the score,
+not the order of languages of equal priors.
+
+``MOST_LANGUAGES`` labels are learned: those of most rows, on ties the first in
+code-point order. Rows of rarer labels are predicted and not learned from; what is
+learned of the others does not depend on how many labels there are.
 
 Edge cases: null text and text without a letter is ``und`` with score 0; rows with
 a null language are predicted and never learned from; without any labelled row
@@ -25,8 +31,8 @@ from tidemark.llm.common import bounded_arrow
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
-#: Entries of the broadcast matrix (float32); more languages get fewer buckets.
-MOST_ENTRIES = 1 << 23
+#: Labels that are learned; with the buckets the bound of the broadcast matrix (float32, 32 MB).
+MOST_LANGUAGES = 256
 SMOOTHING = 0.5
 UNDETERMINED = "und"
 #: Characters worked on at a time inside an Arrow batch.
@@ -101,13 +107,10 @@ def train(labelled: DataFrame) -> Model:
     spark = labelled.sparkSession
     bounded_arrow(spark)
     labelled = labelled.select("text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL")
-    prior = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_ENTRIES // 1024 + 1).collect()}
-    languages = sorted(prior)
-    if len(languages) > MOST_ENTRIES // 1024:
-        raise ValueError(f"more than {MOST_ENTRIES // 1024} languages")
-    buckets = BUCKETS
-    while buckets * len(languages) > MOST_ENTRIES:
-        buckets //= 2
+    most = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    prior = {r["lang"]: r["n"] for r in most.collect()}
+    languages, buckets = sorted(prior), BUCKETS
+    labelled = labelled.filter(F.col("lang").isin(languages)) if languages else labelled
     number = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
