@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark import constants as C
 from tidemark.functions.stats import sigmoid
+from tidemark.scratch import written
 
 
 @dataclass
@@ -76,7 +77,7 @@ def stratified_folds(df: DataFrame, label: str, order: str, k: int = C.FOLDS) ->
 
 def out_of_fold(df: DataFrame, label: str, order: str, k: int = C.FOLDS, **fit) -> DataFrame:
     """``df`` with each row's probability from a model fitted on the other folds; folds whose rest has one class are left out."""
-    folds = stratified_folds(df, label, order, k).persist()
+    folds = written(stratified_folds(df, label, order, k))
     out = None
     for i in range(k):
         rest = folds.filter(F.col("fold") != i)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.errors import EngineError
+from tidemark.scratch import written
 
 
 def substitute(df: DataFrame, column: str, old: str, new: str) -> DataFrame:
@@ -57,12 +58,14 @@ def stretch(df: DataFrame, column: str, pivot: float, factor: float) -> DataFram
 def two_sample_splits(df: DataFrame, n: int, trials: int, key: str, *, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Disjoint halves of ``n`` rows for each trial (column ``trial``), in the order of md5 of key and seed.
 
-    The first 2n hashes of each trial are found per task before they meet.
+    The first 2n hashes of each trial are found per task before they meet; the rows
+    drawn, 2n for each trial, are written once.
     """
     dealt = df.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
     dealt = dealt.withColumn("draw", F.md5(F.concat(F.col(key).cast("string"), F.lit("-"), (F.col("trial") + seed).cast("string"))))
     dealt = dealt.withColumn("place", F.row_number().over(Window.partitionBy("trial").orderBy("draw", key))).filter(F.col("place") <= 2 * n)
-    return dealt.filter(F.col("place") <= n).drop("draw", "place"), dealt.filter(F.col("place") > n).drop("draw", "place")
+    dealt = written(dealt.drop("draw"))
+    return dealt.filter(F.col("place") <= n).drop("place"), dealt.filter(F.col("place") > n).drop("place")
 
 
 def seeded_sample(df: DataFrame, n: int, key: str, *, seed: int = 0) -> DataFrame:

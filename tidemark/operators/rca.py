@@ -87,9 +87,9 @@ def incidents(observations: DataFrame, changes: DataFrame, graph: Lineage, max_l
     top = rank_root_causes(written(observations), changes, graph, max_lead).filter("rank = 1").drop("rank")
     targets = changes.select(*by, "change_ord", "targets")
     top = written(top.join(targets, [*by, "change_ord"]))
-    # The first of the largest magnitudes, in the order of observation.
-    worst = F.array_min(F.transform("explained", lambda o: F.struct((-o["magnitude"]).alias("k"), o["obs_ord"].alias("obs_ord"))))
-    top = top.withColumn("worst", F.element_at(F.filter("explained", lambda o: o["obs_ord"] == worst["obs_ord"]), 1))
+    # The first of the largest magnitudes, in the order of observation; numbers may repeat between assets, so the whole observation goes along.
+    worst = F.array_min(F.transform("explained", lambda o: F.struct((-o["magnitude"]).alias("k"), o["obs_ord"].alias("obs_ord"), o.alias("o"))))
+    top = top.withColumn("worst", worst["o"])
     target_ids = top.select(*by, F.explode("targets").alias("id")).distinct()
     seen = top.select(*by, F.explode("explained").alias("o")).select(*by, F.col("o.asset").alias("id"))
     affected = graph.data_nodes_below(target_ids).unionByName(seen).distinct().join(target_ids, [*by, "id"], "left_anti")

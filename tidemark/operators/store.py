@@ -1,7 +1,8 @@
 """Incident history: one row for each identity, kept as Parquet snapshots.
 
 A write makes a new snapshot folder and then moves the pointer by one rename, so
-readers see the old or the new history, never a part.
+readers see the old or the new history, never a part. The last ``KEPT`` snapshots stay,
+for those who still read them.
 """
 
 from __future__ import annotations
@@ -11,6 +12,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.errors import EngineError
+
+#: Snapshots that are kept, the current one among them.
+KEPT = 4
 SCHEMA = (
     "identity_key string, asset string, signature string, column_name string, change_id string, change_label string, severity string, confidence double, "
     "title string, summary string, change_at timestamp_ntz, first_detected_at timestamp_ntz, last_detected_at timestamp_ntz, "
@@ -85,8 +90,10 @@ class IncidentStore:
         number = int(names[-1]) + 1 if names else 0
         aside = f"{self.folder}/aside-{uuid.uuid4().hex}"
         df.write.parquet(aside)
-        self._fs.rename(self._path(aside), self._path(f"{self.folder}/snapshots/{number:012d}"))
-        for old in names:
+        if not self._fs.rename(self._path(aside), self._path(f"{self.folder}/snapshots/{number:012d}")):
+            self._fs.delete(self._path(aside), True)
+            raise EngineError(f"snapshot {number} of {self.folder} could not be put in place; the history is as it was")
+        for old in names[: max(0, len(names) + 1 - KEPT)]:
             self._fs.delete(self._path(f"{self.folder}/snapshots/{old}"), True)
 
     def record(self, new: DataFrame) -> None:
