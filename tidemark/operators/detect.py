@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
-from tidemark.functions.stats import is_finite, noise_floor, pooled_share, quantile_noise, sigmoid
+from tidemark.functions.stats import is_finite, noise_floor, quantile_noise, sigmoid
 from tidemark.functions.text import normal_spelling
 
 EVIDENCE = {
@@ -35,11 +35,6 @@ EVIDENCE = {
 FIELDS = {"signature": "string", "detector_ord": "int", "magnitude": "double", "from_value": "string", "to_value": "string", **EVIDENCE}
 
 
-def _symptom(signature: str, **fields: Column) -> Column:
-    fields = {"signature": F.lit(signature), "detector_ord": F.lit(C.DETECTORS.index(signature)), **fields}
-    return F.struct(*[(fields.get(k, F.lit(None)).cast(t)).alias(k) for k, t in FIELDS.items()])
-
-
 def pair(before: DataFrame, after: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(asset, by, column, column_ord, b, c): columns profiled on both sides."""
     inner = ["row_count", "null_count", "distinct_count", "top_k", "numeric"]
@@ -49,102 +44,6 @@ def pair(before: DataFrame, after: DataFrame, by: Sequence[str] = ()) -> DataFra
     return b.join(c, keys)
 
 
-def _n(side: str) -> Column:
-    return F.col(f"{side}.row_count") - F.col(f"{side}.null_count")
-
-
-def _sum(array: Column) -> Column:
-    return F.aggregate(array, F.lit(0.0), lambda s, x: s + x)
-
-
-def _covered(side: str) -> Column:
-    total = F.aggregate(F.map_values(f"{side}.top_k"), F.lit(0).cast("bigint"), lambda s, x: s + x)
-    return F.when(_n(side) > 0, total / _n(side)).otherwise(F.lit(0.0)) >= C.MIN_COVERAGE
-
-
-def _share(side: str, count: Column) -> Column:
-    return F.when(_n(side) > 0, F.coalesce(count, F.lit(0)) / _n(side)).otherwise(F.lit(0.0))
-
-
-def _with_movers(pairs: DataFrame) -> DataFrame:
-    """Adds ``dropped`` and ``gained``: (value, by) of values whose share moved beyond noise."""
-    values = F.array_union(F.map_keys("b.top_k"), F.map_keys("c.top_k"))
-
-    def move(v: Column) -> Column:
-        x_b, x_c = (F.coalesce(F.col(f"{s}.top_k")[v], F.lit(0)) for s in "bc")
-        floor = F.greatest(F.lit(C.MIN_SHIFT), noise_floor(pooled_share(x_b, _n("b"), x_c, _n("c")), _n("b"), _n("c")))
-        return F.struct(v.alias("value"), _share("b", x_b).alias("was"), _share("c", x_c).alias("now"), floor.alias("floor"))
-
-    df = pairs.withColumn("moves", F.transform(values, move))
-    dropped = F.filter("moves", lambda m: (m["now"] - m["was"] <= -m["floor"]) & (m["was"] >= C.MIN_SHARE))
-    gained = F.filter("moves", lambda m: (m["now"] - m["was"] >= m["floor"]) & (m["now"] >= C.MIN_SHARE))
-    df = df.withColumn("dropped", F.transform(dropped, lambda m: F.struct(m["value"].alias("value"), (m["was"] - m["now"]).alias("by"))))
-    return df.withColumn("gained", F.transform(gained, lambda m: F.struct(m["value"].alias("value"), (m["now"] - m["was"]).alias("by")))).drop("moves")
-
-
-def _value_substitution(df: DataFrame) -> DataFrame:
-    lost = F.array_min(F.transform("dropped", lambda m: F.struct((-m["by"]).alias("k"), m["value"].alias("value"))))
-    df = df.withColumn("from_", lost)
-    near = F.array_min(F.transform("gained", lambda m: F.struct(F.abs(m["by"] + F.col("from_.k")).alias("k"), m["value"].alias("value"), m["by"].alias("by"))))
-    df = df.withColumn("to_", near)
-    lost, gained = -F.col("from_.k"), F.col("to_.by")
-    match = F.least(lost, gained) / F.greatest(lost, gained)
-    one_sided = (F.size("dropped") == 1) != (F.size("gained") == 1)
-    fires = _covered("b") & _covered("c") & (F.size("dropped") > 0) & (F.size("gained") > 0) & ~one_sided & (match >= 1.0 - C.MASS_MATCH_TOLERANCE)
-    found = _symptom(C.VALUE_SUBSTITUTION, magnitude=(lost + gained) / 2, from_value=F.col("from_.value"), to_value=F.col("to_.value"), lost=lost, gained=gained, match=match)
-    return df.withColumn("s0", F.when(fires, found)).drop("from_", "to_")
-
-
-def _case_format(df: DataFrame) -> DataFrame:
-    def spelled(side: str) -> Column:
-        return F.transform(F.map_entries(f"{side}.top_k"), lambda e: F.struct(normal_spelling(e["key"]).alias("norm"), e["key"].alias("raw"), e["value"].alias("n")))
-
-    df = df.withColumn("sb", spelled("b")).withColumn("sc", spelled("c"))
-    norms = F.array_distinct(F.transform(F.concat("sb", "sc"), lambda e: e["norm"]))
-
-    def group(norm: Column) -> Column:
-        out = [norm.alias("norm")]
-        for side, name in (("b", "sb"), ("c", "sc")):
-            own = F.filter(name, lambda e: e["norm"] == norm)
-            out.append(_share(side, F.aggregate(own, F.lit(0).cast("bigint"), lambda s, e: s + e["n"])).alias(f"share_{side}"))
-            out.append(F.array_min(F.transform(own, lambda e: F.struct((-e["n"]).alias("k"), e["raw"].alias("raw"))))["raw"].alias(f"raw_{side}"))
-        return F.struct(*out)
-
-    df = df.withColumn("groups", F.transform(norms, group)).drop("sb", "sc")
-    one_sided = F.exists("groups", lambda g: ((g["share_b"] >= C.MIN_SHARE) & g["raw_c"].isNull()) | ((g["share_c"] >= C.MIN_SHARE) & g["raw_b"].isNull()))
-    variation = _sum(F.transform("groups", lambda g: F.abs(g["share_b"] - g["share_c"]))) / 2
-    respelled = F.filter("groups", lambda g: (g["share_b"] >= C.MIN_SHARE) & g["raw_b"].isNotNull() & g["raw_c"].isNotNull() & (g["raw_b"] != g["raw_c"]))
-    df = df.withColumn("respelled", respelled).withColumn("variation", variation).withColumn("one_sided", one_sided)
-    changed = _sum(F.transform("respelled", lambda g: g["share_b"]))
-    largest = F.array_min(F.transform("respelled", lambda g: F.struct((-g["share_b"]).alias("k"), g["norm"].alias("norm"), g["raw_b"].alias("raw_b"), g["raw_c"].alias("raw_c"))))
-    fires = (F.size("b.top_k") > 0) & (F.size("c.top_k") > 0) & _covered("b") & _covered("c") & ~F.col("one_sided") & (F.col("variation") <= C.RESPELL_MASS_TOLERANCE) & (F.size("respelled") > 0)
-    found = _symptom(C.CASE_FORMAT, magnitude=F.least(F.lit(1.0), changed), from_value=largest["raw_b"], to_value=largest["raw_c"], lost=changed, respelled=F.size("respelled"), total_variation=F.col("variation"))
-    return df.withColumn("s1", F.when(fires, found)).drop("groups", "respelled", "variation", "one_sided")
-
-
-def _split_merge(df: DataFrame) -> DataFrame:
-    def names(side: str) -> Column:
-        return F.transform(F.sort_array(F.transform(side, lambda m: F.struct((-m["by"]).alias("k"), m["value"].alias("value")))), lambda m: m["value"])
-
-    lost, gained = (_sum(F.transform(s, lambda m: m["by"])) for s in ("dropped", "gained"))
-    split = (F.size("dropped") == 1) & (F.size("gained") >= 2)
-    merge = (F.size("dropped") >= 2) & (F.size("gained") == 1)
-    kept = F.least(lost, gained) / F.greatest(lost, gained)
-    fires = (F.size("b.top_k") > 0) & (F.size("c.top_k") > 0) & _covered("b") & _covered("c") & (split | merge) & (kept >= 1.0 - C.CONSERVE_TOLERANCE)
-    found = _symptom(
-        C.SPLIT_MERGE,
-        magnitude=F.least(F.lit(1.0), (lost + gained) / 2),
-        from_value=F.array_join(names("dropped"), " + "),
-        to_value=F.array_join(names("gained"), " + "),
-        kind=F.when(split, "split").otherwise("merge"),
-        lost=lost,
-        gained=gained,
-        sources=names("dropped"),
-        targets=names("gained"),
-    )
-    return df.withColumn("s2", F.when(fires, found))
-
-
 def _q(side: str, i: int) -> Column:
     return F.get(F.col(f"{side}.numeric.q"), F.lit(i))
 
@@ -154,33 +53,6 @@ def _all_finite() -> Column:
     return F.coalesce((F.size(both) == 10) & F.forall(both, lambda x: is_finite(x)), F.lit(False))
 
 
-def _greatest(columns: list[Column]) -> Column:
-    return F.greatest(*columns)
-
-
-def _unit_scale(df: DataFrame) -> DataFrame:
-    spread_b, spread_c = (_q(s, 4) - _q(s, 0) for s in "bc")
-    wide = (spread_b > 0) & (spread_c > 0) & (spread_b >= C.NARROW_SPREAD_FLOOR * F.greatest(F.abs(_q("b", 2)), F.lit(1.0)))
-    df = df.withColumn("ok", _all_finite() & wide)
-    factor, offset = spread_c / spread_b, _q("c", 2) - _q("b", 2)
-    df = df.withColumn("factor", F.when(F.col("ok"), factor)).withColumn("offset", F.when(F.col("ok"), offset))
-    mult = _greatest([F.abs(_q("c", i) - F.col("factor") * _q("b", i)) for i in range(5)]) / spread_c
-    add = _greatest([F.abs(_q("c", i) - (_q("b", i) + F.col("offset"))) for i in range(5)]) / spread_c
-    df = df.withColumn("mult", F.when(F.col("ok"), mult)).withColumn("add", F.when(F.col("ok"), add)).withColumn("reach", F.when(F.col("ok"), F.abs("offset") / spread_b))
-    is_mult = (F.col("mult") <= C.FIT_TOLERANCE) & (F.abs(F.col("factor") - 1.0) >= C.MULTIPLY_TOLERANCE)
-    is_add = (F.col("add") <= C.FIT_TOLERANCE) & (F.col("reach") >= C.ADD_TOLERANCE)
-    as_mult = is_mult & (~is_add | (F.col("mult") <= F.col("add")))
-    found = _symptom(
-        C.UNIT_SCALE,
-        magnitude=F.least(F.lit(1.0), F.when(as_mult, F.abs(F.log10("factor"))).otherwise(F.col("reach"))),
-        kind=F.when(as_mult, "multiplicative").otherwise("additive"),
-        factor=F.col("factor"),
-        offset=F.col("offset"),
-        residual=F.when(as_mult, F.col("mult")).otherwise(F.col("add")),
-    )
-    return df.withColumn("s3", F.when(F.col("ok") & (is_mult | is_add), found)).drop("ok", "factor", "offset", "mult", "add", "reach")
-
-
 def quantile_scale() -> Column:
     """The baseline's spread, or its deviation where that is degenerate; null where both are."""
     floor = C.RELATIVE_SPREAD_EPS * F.greatest(F.abs(_q("b", 2)), F.lit(1.0))
@@ -196,12 +68,142 @@ def quantile_distance(scale: Column | None = None) -> Column:
     return F.when(_all_finite() & (moved < F.lit(float("inf"))), moved / scale)
 
 
-def _distribution_shift(df: DataFrame, threshold: float | Column) -> DataFrame:
-    df = df.withColumn("scale", quantile_scale()).withColumn("distance", quantile_distance(F.col("scale")))
-    limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    least = F.greatest(limit, quantile_noise(F.col("b.numeric.count"), F.col("c.numeric.count")))
-    found = _symptom(C.DISTRIBUTION_SHIFT, magnitude=F.least(F.lit(1.0), F.col("distance")), distance=F.col("distance"), median_shift=_q("c", 2) - _q("b", 2))
-    return df.withColumn("s4", F.when(F.col("distance") >= least, found)).drop("distance", "scale")
+def _d(x: float) -> str:
+    return f"{float(x)!r}D"
+
+
+def _share_sql(count: str, n: str) -> str:
+    return f"CASE WHEN {n} > 0 THEN coalesce({count}, 0) / {n} ELSE 0D END"
+
+
+def _floor_sql(share: str) -> str:
+    """Move of a share that sampling explains; 0 where a side is empty."""
+    p = f"greatest(0D, least(1D, {share}))"
+    return f"CASE WHEN nb > 0 AND nc > 0 THEN {_d(C.SIGNIFICANCE_Z)} * sqrt({p} * (1 - {p}) * (1 / nb + 1 / nc)) ELSE 0D END"
+
+
+def _symptom_sql(signature: str, **fields: str) -> str:
+    fields = {"signature": f"'{signature}'", "detector_ord": str(C.DETECTORS.index(signature)), **fields}
+    return "named_struct(" + ", ".join(f"'{k}', cast({fields.get(k, 'NULL')} AS {t})" for k, t in FIELDS.items()) + ")"
+
+
+_SUM = "aggregate(transform({}, m -> m.{}), 0D, (s, x) -> s + x)"
+_FINITE = "coalesce(NOT isnan(x) AND abs(x) < double('Infinity'), false)"
+
+#: What the signatures read, stage by stage: (name, expression, signatures that need it). A stage is one projection.
+_BY_MASS, _BY_SPELLING, _BY_QUANTILES = (C.VALUE_SUBSTITUTION, C.SPLIT_MERGE), (C.CASE_FORMAT,), (C.UNIT_SCALE, C.DISTRIBUTION_SHIFT)
+_CATEGORICAL = _BY_MASS + _BY_SPELLING
+
+
+def _covered_sql(side: str, n: str) -> str:
+    return f"(CASE WHEN {n} > 0 THEN aggregate(map_values({side}.top_k), 0L, (s, x) -> s + x) / {n} ELSE 0D END) >= {_d(C.MIN_COVERAGE)}"
+
+
+def _group_sql(side: str, spelled: str, n: str) -> str:
+    own = f"filter({spelled}, e -> e.norm = g)"
+    return (
+        f"'share_{side}', {_share_sql(f'aggregate({own}, 0L, (s, e) -> s + e.n)', n)}, "
+        f"'raw_{side}', array_min(transform({own}, e -> named_struct('k', -e.n, 'raw', e.raw))).raw"
+    )
+
+
+_SHARE, _SHIFT = _d(C.MIN_SHARE), _d(C.MIN_SHIFT)
+_STAGES = (
+    (
+        ("nb", "b.row_count - b.null_count", C.DETECTORS),
+        ("nc", "c.row_count - c.null_count", C.DETECTORS),
+        ("qb", "b.numeric.q", C.DETECTORS),
+        ("qc", "c.numeric.q", C.DETECTORS),
+        ("counts", "transform(array_union(map_keys(b.top_k), map_keys(c.top_k)), v -> named_struct('value', v, 'b', coalesce(b.top_k[v], 0L), 'c', coalesce(c.top_k[v], 0L)))", _BY_MASS),
+        ("norms", "array_distinct(transform(concat(spelled_b, spelled_c), e -> e.norm))", _BY_SPELLING),
+    ),
+    (
+        ("covered", f"{_covered_sql('b', 'nb')} AND {_covered_sql('c', 'nc')} AND size(b.top_k) > 0 AND size(c.top_k) > 0", _CATEGORICAL),
+        ("moves", f"transform(counts, m -> named_struct('value', m.value, 'was', {_share_sql('m.b', 'nb')}, 'now', {_share_sql('m.c', 'nc')}, 'least', greatest({_SHIFT}, {_floor_sql('CASE WHEN nb + nc > 0 THEN (m.b + m.c) / (nb + nc) ELSE 0D END')})))", _BY_MASS),
+        ("groups", f"transform(norms, g -> named_struct('norm', g, {_group_sql('b', 'spelled_b', 'nb')}, {_group_sql('c', 'spelled_c', 'nc')}))", _BY_SPELLING),
+        ("comparable", f"coalesce(size(concat(qb, qc)) = 10 AND forall(concat(qb, qc), x -> {_FINITE}), false)", _BY_QUANTILES),
+        ("spread_b", "get(qb, 4) - get(qb, 0)", _BY_QUANTILES),
+        ("spread_c", "get(qc, 4) - get(qc, 0)", _BY_QUANTILES),
+        ("size_b", "greatest(abs(get(qb, 2)), 1D)", _BY_QUANTILES),
+    ),
+    (
+        ("dropped", f"transform(filter(moves, m -> m.now - m.was <= -m.least AND m.was >= {_SHARE}), m -> named_struct('k', -(m.was - m.now), 'value', m.value, 'mass', m.was - m.now))", _BY_MASS),
+        ("gained", f"transform(filter(moves, m -> m.now - m.was >= m.least AND m.now >= {_SHARE}), m -> named_struct('k', -(m.now - m.was), 'value', m.value, 'mass', m.now - m.was))", _BY_MASS),
+        ("one_sided", f"exists(groups, g -> (g.share_b >= {_SHARE} AND g.raw_c IS NULL) OR (g.share_c >= {_SHARE} AND g.raw_b IS NULL))", _BY_SPELLING),
+        ("variation", "aggregate(transform(groups, g -> abs(g.share_b - g.share_c)), 0D, (s, x) -> s + x) / 2", _BY_SPELLING),
+        ("respelled", f"filter(groups, g -> g.share_b >= {_SHARE} AND g.raw_b IS NOT NULL AND g.raw_c IS NOT NULL AND g.raw_b != g.raw_c)", _BY_SPELLING),
+        ("affine", f"comparable AND spread_b > 0 AND spread_c > 0 AND spread_b >= {_d(C.NARROW_SPREAD_FLOOR)} * size_b", (C.UNIT_SCALE,)),
+        ("moved", "CASE WHEN comparable THEN aggregate(transform(sequence(0, 4), i -> abs(get(qc, i) - get(qb, i))), 0D, (s, x) -> s + x) / 5 END", (C.DISTRIBUTION_SHIFT,)),
+        ("scale", f"CASE WHEN spread_b > {_d(C.RELATIVE_SPREAD_EPS)} * size_b THEN spread_b WHEN b.numeric.stddev > {_d(C.RELATIVE_SPREAD_EPS)} * size_b THEN b.numeric.stddev END", (C.DISTRIBUTION_SHIFT,)),
+    ),
+    (
+        ("from_", "array_min(transform(dropped, m -> named_struct('k', m.k, 'value', m.value)))", (C.VALUE_SUBSTITUTION,)),
+        ("lost", _SUM.format("dropped", "mass"), (C.SPLIT_MERGE,)),
+        ("won", _SUM.format("gained", "mass"), (C.SPLIT_MERGE,)),
+        ("split", "size(dropped) = 1 AND size(gained) >= 2", (C.SPLIT_MERGE,)),
+        ("merge", "size(dropped) >= 2 AND size(gained) = 1", (C.SPLIT_MERGE,)),
+        ("sources", "transform(sort_array(dropped), m -> m.value)", (C.SPLIT_MERGE,)),
+        ("targets", "transform(sort_array(gained), m -> m.value)", (C.SPLIT_MERGE,)),
+        ("changed", _SUM.format("respelled", "share_b"), _BY_SPELLING),
+        ("largest", "array_min(transform(respelled, g -> named_struct('k', -g.share_b, 'norm', g.norm, 'raw_b', g.raw_b, 'raw_c', g.raw_c)))", _BY_SPELLING),
+        ("factor", "CASE WHEN affine THEN spread_c / spread_b END", (C.UNIT_SCALE,)),
+        ("shift", "CASE WHEN affine THEN get(qc, 2) - get(qb, 2) END", (C.UNIT_SCALE,)),
+        ("distance", "CASE WHEN moved < double('Infinity') THEN moved / scale END", (C.DISTRIBUTION_SHIFT,)),
+    ),
+    (
+        ("to_", "array_min(transform(gained, m -> named_struct('k', abs(m.mass + from_.k), 'value', m.value, 'mass', m.mass)))", (C.VALUE_SUBSTITUTION,)),
+        ("mult", "CASE WHEN affine THEN array_max(transform(sequence(0, 4), i -> abs(get(qc, i) - factor * get(qb, i)))) / spread_c END", (C.UNIT_SCALE,)),
+        ("add", "CASE WHEN affine THEN array_max(transform(sequence(0, 4), i -> abs(get(qc, i) - (get(qb, i) + shift)))) / spread_c END", (C.UNIT_SCALE,)),
+        ("reach", "CASE WHEN affine THEN abs(shift) / spread_b END", (C.UNIT_SCALE,)),
+    ),
+    (
+        ("match", "least(-from_.k, to_.mass) / greatest(-from_.k, to_.mass)", (C.VALUE_SUBSTITUTION,)),
+        ("is_mult", f"mult <= {_d(C.FIT_TOLERANCE)} AND abs(factor - 1) >= {_d(C.MULTIPLY_TOLERANCE)}", (C.UNIT_SCALE,)),
+        ("is_add", f"add <= {_d(C.FIT_TOLERANCE)} AND reach >= {_d(C.ADD_TOLERANCE)}", (C.UNIT_SCALE,)),
+    ),
+)
+_AS_MULT = "is_mult AND (NOT is_add OR mult <= add)"
+_QUANTILE_NOISE = f"CASE WHEN least(b.numeric.count, c.numeric.count) > 0 THEN {_d(C.SIGNIFICANCE_Z * C.QUANTILE_NOISE_SD)} / sqrt(least(b.numeric.count, c.numeric.count)) ELSE 0D END"
+#: When each signature fires, and what it says.
+_RULES = {
+    C.VALUE_SUBSTITUTION: (
+        f"covered AND size(dropped) > 0 AND size(gained) > 0 AND (size(dropped) = 1) = (size(gained) = 1) AND match >= {_d(1 - C.MASS_MATCH_TOLERANCE)}",
+        _symptom_sql(C.VALUE_SUBSTITUTION, magnitude="(-from_.k + to_.mass) / 2", from_value="from_.value", to_value="to_.value", lost="-from_.k", gained="to_.mass", match="match"),
+    ),
+    C.CASE_FORMAT: (
+        f"covered AND NOT one_sided AND variation <= {_d(C.RESPELL_MASS_TOLERANCE)} AND size(respelled) > 0",
+        _symptom_sql(C.CASE_FORMAT, magnitude="least(1D, changed)", from_value="largest.raw_b", to_value="largest.raw_c", lost="changed", respelled="size(respelled)", total_variation="variation"),
+    ),
+    C.SPLIT_MERGE: (
+        f"covered AND (split OR merge) AND least(lost, won) / greatest(lost, won) >= {_d(1 - C.CONSERVE_TOLERANCE)}",
+        _symptom_sql(
+            C.SPLIT_MERGE,
+            magnitude="least(1D, (lost + won) / 2)",
+            from_value="array_join(sources, ' + ')",
+            to_value="array_join(targets, ' + ')",
+            kind="CASE WHEN split THEN 'split' ELSE 'merge' END",
+            lost="lost",
+            gained="won",
+            sources="sources",
+            targets="targets",
+        ),
+    ),
+    C.UNIT_SCALE: (
+        "affine AND (is_mult OR is_add)",
+        _symptom_sql(
+            C.UNIT_SCALE,
+            magnitude=f"least(1D, CASE WHEN {_AS_MULT} THEN abs(log10(factor)) ELSE reach END)",
+            kind=f"CASE WHEN {_AS_MULT} THEN 'multiplicative' ELSE 'additive' END",
+            factor="factor",
+            offset="shift",
+            residual=f"CASE WHEN {_AS_MULT} THEN mult ELSE add END",
+        ),
+    ),
+    C.DISTRIBUTION_SHIFT: (
+        f"distance >= greatest(limit_, {_QUANTILE_NOISE})",
+        _symptom_sql(C.DISTRIBUTION_SHIFT, magnitude="least(1D, distance)", distance="distance", median_shift="get(qc, 2) - get(qb, 2)"),
+    ),
+}
 
 
 def detect(
@@ -222,35 +224,26 @@ def detect(
 
 
 def detect_pairs(pairs: DataFrame, *, by: Sequence[str] = (), threshold: float | Column = C.DISTRIBUTION_THRESHOLD, precedence: bool = True, signatures: Sequence[str] = C.DETECTORS) -> DataFrame:
-    steps = {C.VALUE_SUBSTITUTION: _value_substitution, C.CASE_FORMAT: _case_format, C.SPLIT_MERGE: _split_merge, C.UNIT_SCALE: _unit_scale, C.DISTRIBUTION_SHIFT: lambda df: _distribution_shift(df, threshold)}
     asked = [s for s in C.DETECTORS if s in signatures]
-    df = _with_movers(pairs) if {C.VALUE_SUBSTITUTION, C.SPLIT_MERGE} & set(asked) else pairs
-    for signature in asked:
-        df = steps[signature](df)
-    fired = F.filter(F.array(*[F.col(f"s{C.DETECTORS.index(s)}") for s in asked]), lambda s: s.isNotNull())
-    df = df.withColumn("fired", fired)
+    limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+
+    def spelled(side: str) -> Column:
+        return F.transform(F.map_entries(f"{side}.top_k"), lambda e: F.struct(normal_spelling(e["key"]).alias("norm"), e["key"].alias("raw"), e["value"].alias("n"))).alias(f"spelled_{side}")
+
+    kept = ["asset", *by, "column", "column_ord", "b", "c"]
+    df = pairs.select(*kept, limit.alias("limit_"), *([spelled("b"), spelled("c")] if C.CASE_FORMAT in asked else []))
+    for stage in _STAGES:
+        df = df.select("*", *[F.expr(e).alias(name) for name, e, of in stage if set(of) & set(asked)])
+    fired = ", ".join(f"CASE WHEN {_RULES[s][0]} THEN {_RULES[s][1]} END" for s in asked)
+    found = ["nb AS n_before", "nc AS n_after", "b.numeric.count AS finite_before", "c.numeric.count AS finite_after", "qb AS q_before", "qc AS q_after"]
+    keys = [f"`{k}`" for k in ("asset", *by, "column", "column_ord")]
+    df = df.selectExpr(*keys, f"filter(array({fired}), s -> s IS NOT NULL) AS fired", *found)
     if precedence:
-        def stays(s: Column) -> Column:
-            out = F.lit(True)
-            for winner, loser in C.SUPPRESSES.items():
-                out = out & ~((s["signature"] == loser) & F.exists("fired", lambda t: t["signature"] == winner))
-            return out
-
-        df = df.withColumn("fired", F.filter("fired", stays))
-    df = df.select(
-        "asset",
-        *by,
-        "column",
-        "column_ord",
-        F.explode("fired").alias("s"),
-        _n("b").alias("n_before"),
-        _n("c").alias("n_after"),
-        F.col("b.numeric.count").alias("finite_before"),
-        F.col("c.numeric.count").alias("finite_after"),
-        F.col("b.numeric.q").alias("q_before"),
-        F.col("c.numeric.q").alias("q_after"),
-    )
-    return df.select("asset", *by, "column", "column_ord", "s.*", "n_before", "n_after", "finite_before", "finite_after", "q_before", "q_after")
+        silenced = " OR ".join(f"(s.signature = '{loser}' AND exists(fired, t -> t.signature = '{winner}'))" for winner, loser in C.SUPPRESSES.items())
+        df = df.withColumn("fired", F.expr(f"filter(fired, s -> NOT ({silenced}))"))
+    names = [x.rsplit(" ", 1)[1] for x in found]
+    # Outer, and filtered after: of an inner one the optimizer would infer a condition and push all of it below the stages.
+    return df.selectExpr(*keys, "inline_outer(fired)", *names).filter("signature IS NOT NULL")
 
 
 def with_features(symptoms: DataFrame) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark import constants as C
 from tidemark.operators.detect import detect, with_confidence
 from tidemark.operators.inject import two_sample_splits
 from tidemark.operators.profile import profile
@@ -36,10 +35,10 @@ def operating_point(table: DataFrame, max_fp: float = 0.0) -> DataFrame:
     return middle.unionByName(rest).orderBy("choice").limit(1).drop("choice")
 
 
-def trial_symptoms(before: DataFrame, after: DataFrame, columns: Sequence[str], signatures: Sequence[str] = C.DETECTORS) -> DataFrame:
+def trial_symptoms(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Symptoms of all trials, from one profile job for each side."""
     b, a = (profile(df, columns, side=s, by=["trial"]) for df, s in ((before, "before"), (after, "after")))
-    return with_confidence(detect(b, a, by=["trial"], signatures=signatures))
+    return with_confidence(detect(b, a, by=["trial"]))
 
 
 def real_vs_real(df: DataFrame, columns: Sequence[str], n: int, trials: int, key: str, *, seed: int = 0) -> DataFrame:
@@ -52,15 +51,28 @@ def real_vs_real(df: DataFrame, columns: Sequence[str], n: int, trials: int, key
     return out.select("trial", "column", F.coalesce("n_fired", F.lit(0)).alias("n_fired"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
-def injected_recall(df: DataFrame, column: str, signature: str, inject, n: int, trials: int, key: str, *, seed: int = 0) -> DataFrame:
-    """(trial, hit, confidence) for an injection into the second half of each trial."""
-    before, after = two_sample_splits(df.select(key, column), n, trials, key, seed=seed)
-    # Of the others only those matter that could silence it.
-    asked = [s for s in C.DETECTORS if s == signature or C.SUPPRESSES.get(s) == signature]
-    found = trial_symptoms(before, inject(after), [column], asked).filter(F.col("signature") == signature)
-    every = df.sparkSession.range(trials).select(F.col("id").cast("int").alias("trial"))
-    out = every.join(found.select("trial", "confidence"), "trial", "left")
-    return out.select("trial", F.col("confidence").isNotNull().alias("hit"), "confidence")
+#: (signature to be found, column, change of the second half)
+Recipe = tuple[str, str, Callable[[DataFrame], DataFrame]]
+
+
+def injected_recall(df: DataFrame, recipes: Sequence[Recipe], n: int, trials: int, key: str, *, seed: int = 0) -> DataFrame:
+    """(dataset, trial, hit, confidence): whether each recipe's injection into the second half of a trial is found.
+
+    All recipes share the halves; recipe and trial are keys of one profile job a side.
+    ``dataset`` is the signature.
+    """
+    columns = list(dict.fromkeys(c for _, c, _ in recipes))
+    before, after = two_sample_splits(df.select(key, *columns), n, trials, key, seed=seed)
+    changed = None
+    for signature, _, inject in recipes:
+        part = inject(after).withColumn("dataset", F.lit(signature))
+        changed = part if changed is None else changed.unionByName(part)
+    asked = df.sparkSession.createDataFrame([(s, c) for s, c, _ in recipes], "dataset string, column string")
+    b = profile(before, columns, side="before", by=["trial"]).join(F.broadcast(asked), "column")
+    a = profile(changed, columns, side="after", by=["dataset", "trial"]).join(F.broadcast(asked), ["dataset", "column"])
+    found = with_confidence(detect(b, a, by=["dataset", "trial"])).filter("signature = dataset").select("dataset", "trial", "confidence")
+    every = df.sparkSession.range(trials).select(F.col("id").cast("int").alias("trial")).crossJoin(F.broadcast(asked.select("dataset")))  # trials times recipes
+    return every.join(found, ["dataset", "trial"], "left").select("dataset", "trial", F.col("confidence").isNotNull().alias("hit"), "confidence")
 
 
 def pooled(rates: DataFrame) -> DataFrame:

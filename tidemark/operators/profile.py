@@ -24,7 +24,7 @@ from tidemark.scratch import written
 
 NUMERIC = "struct<count: bigint, mean: double, stddev: double, minimum: double, maximum: double, q: array<double>>"
 #: Estimated bytes of input up to which exact quantiles are taken from in-memory counts.
-GROUPED_QUANTILE_BYTES = 2 << 30
+GROUPED_QUANTILE_BYTES = 64 << 20
 
 
 def profilable(df: DataFrame) -> list[str]:
@@ -150,17 +150,21 @@ def profile(
     distinct = freq.groupBy(*keys).agg(F.count(F.lit(1)).alias("distinct_count"))
     order = Window.partitionBy(*keys).orderBy(F.col("n").desc(), F.col("value"))
     top = freq.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
-    top = top.groupBy(*keys).agg(F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.struct("rank", "value", "n"))), lambda x: F.struct(x["value"], x["n"]))).alias("top_k"))
-
-    def same(a: DataFrame, b: DataFrame) -> DataFrame:
-        on = [a[k].eqNullSafe(b[k]) for k in keys]
-        return a.join(b, on, "left").select(*[a[c] for c in a.columns], *[b[c] for c in b.columns if c not in keys])
-
-    out = same(same(stats, distinct), top)
+    top = top.select(*keys, F.struct("rank", "value", "n").alias("entry"))
+    # The parts meet in one grouping, a row or a few of each for a column.
+    parts = [stats.select(*keys, F.struct("column", "row_count", "null_count", "numeric").alias("stats")), distinct, top]
     if not grouped and any(_is_numeric(kinds[c]) for c in columns):
         numbers = [i for i, c in enumerate(columns) if _is_numeric(kinds[c])]
         values = freq.filter(F.col("column_ord").isin(numbers)).withColumn("v", finite(F.col("value"))).filter("v IS NOT NULL")
-        out = same(out, sorted_quantiles(values.select(*keys, "v", "n"), keys))
+        parts.append(sorted_quantiles(values.select(*keys, "v", "n"), keys))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    only = lambda c: F.first(c, ignorenulls=True).alias(c)
+    sorted_ = [only("q")] if "q" in rows.columns else []
+    out = rows.groupBy(*keys).agg(only("stats"), F.sum("distinct_count").alias("distinct_count"), F.sort_array(F.collect_list("entry")).alias("entries"), *sorted_)
+    out = out.filter("stats IS NOT NULL").select(*keys, "stats.*", "distinct_count", F.map_from_entries(F.transform("entries", lambda x: F.struct(x["value"], x["n"]))).alias("top_k"), *[c for c in ("q",) if sorted_])
+    if sorted_:
         out = out.withColumn("numeric", F.when(F.col("numeric").isNotNull(), F.col("numeric").withField("q", F.col("q")))).drop("q")
     empty = F.create_map().cast("map<string,bigint>")
     label = F.lit(asset) if isinstance(asset, str) else asset

@@ -123,70 +123,72 @@ def quantiles_by_group(spark, sf_dir):
     return rows.select("l_returnflag", *[F.round(F.get("q", F.lit(i)), 6).alias(n) for i, n in enumerate(C.QUANTILE_NAMES)])
 
 
-# A signature and the one that would silence it.
-_TEXT = (C.VALUE_SUBSTITUTION, C.CASE_FORMAT)
-_NUMBERS = (C.UNIT_SCALE, C.DISTRIBUTION_SHIFT)
+# Signatures ---------------------------------------------------------------------------
 
 
-# Signatures ---------------------------------------------------------------------------
+def _every(before: str, after: str, column: str) -> str:
+    """All signatures on one column, with precedence."""
+    number = column in ("o_totalprice", "l_extendedprice")
+    return f"SELECT * FROM ({O.all_signatures_sql(before, after, [] if number else [column], [column] if number else [])})"
+
 
 
-@query("sig_value_substitution", O.value_substitution_sql("SELECT * FROM customer", "SELECT * REPLACE (CASE WHEN c_mktsegment = 'BUILDING' THEN 'CONSTRUCTION' ELSE c_mktsegment END AS c_mktsegment) FROM customer", "c_mktsegment"))
+@query("sig_value_substitution", _every("SELECT * FROM customer", "SELECT * REPLACE (CASE WHEN c_mktsegment = 'BUILDING' THEN 'CONSTRUCTION' ELSE c_mktsegment END AS c_mktsegment) FROM customer", "c_mktsegment"))
 def sig_value_substitution(spark, sf_dir):
     df = table(spark, sf_dir, "customer")
-    return symptom_rows(compared(df, inject.substitute(df, "c_mktsegment", "BUILDING", "CONSTRUCTION"), ["c_mktsegment"], signatures=_TEXT))
+    return symptom_rows(compared(df, inject.substitute(df, "c_mktsegment", "BUILDING", "CONSTRUCTION"), ["c_mktsegment"]))
 
 
 _FEW = "SELECT * FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 120)"
 
 
-@query("sig_value_substitution_silent_small_n", O.value_substitution_sql(_FEW, f"SELECT * REPLACE (CASE WHEN c_mktsegment = 'BUILDING' AND c_custkey % 5 = 0 THEN 'CONSTRUCTION' ELSE c_mktsegment END AS c_mktsegment) FROM ({_FEW})", "c_mktsegment"))
+@query("sig_value_substitution_silent_small_n", _every(_FEW, f"SELECT * REPLACE (CASE WHEN c_mktsegment = 'BUILDING' AND c_custkey % 5 = 0 THEN 'CONSTRUCTION' ELSE c_mktsegment END AS c_mktsegment) FROM ({_FEW})", "c_mktsegment"))
 def sig_value_substitution_silent_small_n(spark, sf_dir):
     df = table(spark, sf_dir, "customer").orderBy("c_custkey").limit(120)
     after = df.withColumn("c_mktsegment", F.when((F.col("c_mktsegment") == "BUILDING") & (F.col("c_custkey") % 5 == 0), "CONSTRUCTION").otherwise(F.col("c_mktsegment")))
-    return symptom_rows(compared(df, after, ["c_mktsegment"], signatures=[C.VALUE_SUBSTITUTION]))
+    return symptom_rows(compared(df, after, ["c_mktsegment"]))
 
 
-@query("sig_case_format", O.case_format_sql("SELECT * FROM orders", "SELECT * REPLACE (lower(o_orderpriority) AS o_orderpriority) FROM orders", "o_orderpriority") + " UNION ALL " + O.case_format_sql("SELECT * FROM part", "SELECT * REPLACE (p_type || ' ' AS p_type) FROM part", "p_type"))
+@query("sig_case_format", _every("SELECT * FROM orders", "SELECT * REPLACE (lower(o_orderpriority) AS o_orderpriority) FROM orders", "o_orderpriority") + " UNION ALL " + _every("SELECT * FROM part", "SELECT * REPLACE (p_type || ' ' AS p_type) FROM part", "p_type"))
 def sig_case_format(spark, sf_dir):
     o, p = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
-    a = compared(o, o.withColumn("o_orderpriority", F.lower("o_orderpriority")), ["o_orderpriority"], signatures=[C.CASE_FORMAT])
-    b = compared(p, p.withColumn("p_type", F.concat("p_type", F.lit(" "))), ["p_type"], signatures=[C.CASE_FORMAT])
+    a = compared(o, o.withColumn("o_orderpriority", F.lower("o_orderpriority")), ["o_orderpriority"])
+    b = compared(p, p.withColumn("p_type", F.concat("p_type", F.lit(" "))), ["p_type"])
     return symptom_rows(a.unionByName(b))
 
 
 _SPLIT = "SELECT * REPLACE (CASE WHEN o_orderstatus = 'P' THEN CASE (row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) % 2 WHEN 0 THEN 'P1' ELSE 'P2' END ELSE o_orderstatus END AS o_orderstatus) FROM orders"
 
 
-@query("sig_split", O.split_merge_sql("SELECT * FROM orders", _SPLIT, "o_orderstatus"))
+@query("sig_split", _every("SELECT * FROM orders", _SPLIT, "o_orderstatus"))
 def sig_split(spark, sf_dir):
     df = table(spark, sf_dir, "orders")
-    return symptom_rows(compared(df, inject.split_category(df, "o_orderstatus", "P", ["P1", "P2"], "o_orderkey"), ["o_orderstatus"], signatures=[C.SPLIT_MERGE]))
+    return symptom_rows(compared(df, inject.split_category(df, "o_orderstatus", "P", ["P1", "P2"], "o_orderkey"), ["o_orderstatus"]))
 
 
-@query("sig_merge", O.split_merge_sql("SELECT * FROM part", "SELECT * REPLACE (CASE WHEN p_type IN ('SMALL', 'MEDIUM') THEN 'COMPACT' ELSE p_type END AS p_type) FROM part", "p_type"))
+@query("sig_merge", _every("SELECT * FROM part", "SELECT * REPLACE (CASE WHEN p_type IN ('SMALL', 'MEDIUM') THEN 'COMPACT' ELSE p_type END AS p_type) FROM part", "p_type"))
 def sig_merge(spark, sf_dir):
     df = table(spark, sf_dir, "part")
     after = inject.substitute(inject.substitute(df, "p_type", "SMALL", "COMPACT"), "p_type", "MEDIUM", "COMPACT")
-    return symptom_rows(compared(df, after, ["p_type"], signatures=[C.SPLIT_MERGE]))
+    return symptom_rows(compared(df, after, ["p_type"]))
 
 
-@query("sig_distribution_shift", O.distribution_shift_sql("SELECT * FROM orders", "SELECT * REPLACE (CASE WHEN o_totalprice > 250000 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice) FROM orders", "o_totalprice"))
+@query("sig_distribution_shift", _every("SELECT * FROM orders", "SELECT * REPLACE (CASE WHEN o_totalprice > 250000 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice) FROM orders", "o_totalprice"))
 def sig_distribution_shift(spark, sf_dir):
     df = table(spark, sf_dir, "orders")
-    return symptom_rows(compared(df, inject.stretch(df, "o_totalprice", 250000.0, 2.0), ["o_totalprice"], signatures=_NUMBERS))
+    return symptom_rows(compared(df, inject.stretch(df, "o_totalprice", 250000.0, 2.0), ["o_totalprice"]))
 
 
-@query("sig_unit_scale_mult", O.unit_scale_sql("SELECT * FROM lineitem", "SELECT * REPLACE (l_extendedprice * 100 AS l_extendedprice) FROM lineitem", "l_extendedprice"))
+@query("sig_unit_scale_mult", _every("SELECT * FROM lineitem", "SELECT * REPLACE (l_extendedprice * 100 AS l_extendedprice) FROM lineitem", "l_extendedprice"))
 def sig_unit_scale_mult(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem")
-    return symptom_rows(compared(df, inject.scale(df, "l_extendedprice", 100.0), ["l_extendedprice"], signatures=_NUMBERS))
+    return symptom_rows(compared(df, inject.scale(df, "l_extendedprice", 100.0), ["l_extendedprice"]))
 
 
-@query("sig_unit_scale_add", O.unit_scale_sql("SELECT * FROM orders", "SELECT * REPLACE (o_totalprice + 200000 AS o_totalprice) FROM orders", "o_totalprice"))
+@query("sig_unit_scale_add", _every("SELECT * FROM orders", "SELECT * REPLACE (o_totalprice + 200000 AS o_totalprice) FROM orders", "o_totalprice"))
 def sig_unit_scale_add(spark, sf_dir):
     df = table(spark, sf_dir, "orders")
-    return symptom_rows(compared(df, inject.scale(df, "o_totalprice", 1.0, 200000.0), ["o_totalprice"], signatures=_NUMBERS))
+    return symptom_rows(compared(df, inject.scale(df, "o_totalprice", 1.0, 200000.0), ["o_totalprice"]))
 
 
 _MANY = "SELECT * REPLACE (lower(o_orderpriority) AS o_orderpriority, o_totalprice * 100 AS o_totalprice, CASE WHEN o_orderstatus = 'F' THEN 'FINAL' ELSE o_orderstatus END AS o_orderstatus) FROM orders"
@@ -264,8 +266,8 @@ def operating_point(spark, sf_dir):
     return evaluate.operating_point(evaluate.sweep(_outcomes(spark, sf_dir)))
 
 
-_TRIALS = 3
-_TRIAL = "SELECT t.trial, o_orderstatus, row_number() OVER (PARTITION BY t.trial ORDER BY md5(concat(CAST(o_orderkey AS VARCHAR), '-', CAST(t.trial AS VARCHAR))), o_orderkey) AS place FROM orders, (SELECT unnest(range(0, 3)) AS trial) t"
+_TRIALS = 30
+_TRIAL = "SELECT t.trial, o_orderstatus, row_number() OVER (PARTITION BY t.trial ORDER BY md5(concat(CAST(o_orderkey AS VARCHAR), '-', CAST(t.trial AS VARCHAR))), o_orderkey) AS place FROM orders, (SELECT unnest(range(0, 30)) AS trial) t"
 
 
 @query("split_real_vs_real", f"SELECT CAST(trial AS INT) AS trial, half, o_orderstatus, count(*) AS n FROM (SELECT trial, o_orderstatus, CASE WHEN place <= 1000 THEN 'before' ELSE 'after' END AS half FROM ({_TRIAL}) WHERE place <= 2000) GROUP BY ALL")
@@ -275,28 +277,47 @@ def split_real_vs_real(spark, sf_dir):
     return both.groupBy("trial", "half", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("real_vs_real_silent", "SELECT CAST(t AS INT) AS trial, c AS \"column\", CAST(0 AS BIGINT) AS n_fired FROM (SELECT unnest(range(0, 3)) AS t), (SELECT unnest(['l_returnflag', 'l_linestatus', 'l_quantity']) AS c)")
+def _split_sql(table: str, columns: Sequence[str], key: str, n: int) -> str:
+    """CTE x: the rows drawn for each trial with their place."""
+    draw = f"row_number() OVER (PARTITION BY trial ORDER BY md5(concat(CAST({key} AS VARCHAR), '-', CAST(trial AS VARCHAR))), {key})"
+    return f"x AS MATERIALIZED (SELECT * FROM (SELECT trial, {key} AS k, {', '.join(columns)}, {draw} AS place FROM {table}, (SELECT unnest(range(0, {_TRIALS})) AS trial)) WHERE place <= {2 * n})"
+
+
+_RETURNED = ["l_returnflag", "l_linestatus", "l_quantity"]
+_CHANCE = O.grouped_signatures_sql(" UNION ALL ".join(f"SELECT trial AS g, CAST(place > 1000 AS INT) AS side, '{c}' AS col, CAST({c} AS VARCHAR) AS v, {'CAST(' + c + ' AS DOUBLE)' if c == 'l_quantity' else 'CAST(NULL AS DOUBLE)'} AS d FROM x" for c in _RETURNED))
+
+
+@query("real_vs_real_silent", f"WITH {_split_sql('lineitem', _RETURNED, 'l_orderkey * 10 + l_linenumber', 1000)}, {_CHANCE} SELECT CAST(t AS INT) AS trial, c AS \"column\", count(fired.signature) AS n_fired FROM (SELECT unnest(range(0, {_TRIALS})) AS t), (SELECT unnest({_RETURNED}) AS c) LEFT JOIN fired ON fired.g = t AND fired.col = c GROUP BY ALL")
 def real_vs_real_silent(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").withColumn("key", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    return evaluate.real_vs_real(df, ["l_returnflag", "l_linestatus", "l_quantity"], 1000, _TRIALS, "key").select("trial", "column", "n_fired")
+    return evaluate.real_vs_real(df, _RETURNED, 1000, _TRIALS, "key").select("trial", "column", "n_fired")
+
+
+_RECIPES = [
+    (C.VALUE_SUBSTITUTION, "o_orderstatus", lambda d: inject.substitute(d, "o_orderstatus", "F", "FINAL"), "CASE WHEN o_orderstatus = 'F' THEN 'FINAL' ELSE o_orderstatus END"),
+    (C.CASE_FORMAT, "o_orderpriority", lambda d: d.withColumn("o_orderpriority", F.lower("o_orderpriority")), "lower(o_orderpriority)"),
+    (
+        C.SPLIT_MERGE,
+        "o_orderstatus",
+        lambda d: d.withColumn("o_orderstatus", F.when(F.col("o_orderstatus") == "F", F.when(F.col("o_orderkey") % 2 == 0, "F1").otherwise("F2")).otherwise(F.col("o_orderstatus"))),
+        "CASE WHEN o_orderstatus = 'F' THEN CASE WHEN k % 2 = 0 THEN 'F1' ELSE 'F2' END ELSE o_orderstatus END",
+    ),
+    (C.UNIT_SCALE, "o_totalprice", lambda d: inject.scale(d, "o_totalprice", 100.0), "o_totalprice * 100"),
+    (C.DISTRIBUTION_SHIFT, "o_totalprice", lambda d: inject.stretch(d, "o_totalprice", 250000.0, 2.0), "CASE WHEN o_totalprice > 250000 THEN o_totalprice * 2 ELSE o_totalprice END"),
+]
+_INJECTED = O.grouped_signatures_sql(
+    " UNION ALL ".join(
+        f"SELECT '{s}' || '/' || trial AS g, {side} AS side, '{c}' AS col, CAST(y AS VARCHAR) AS v, {'CAST(y AS DOUBLE)' if c == 'o_totalprice' else 'CAST(NULL AS DOUBLE)'} AS d FROM (SELECT trial, {value} AS y FROM x WHERE {where})"
+        for s, c, _, sql in _RECIPES
+        for side, value, where in ((0, c, "place <= 2000"), (1, sql, "place > 2000"))
+    )
+)
+_HITS_SQL = f"WITH {_split_sql('orders', ['o_orderstatus', 'o_orderpriority', 'o_totalprice'], 'o_orderkey', 2000)}, {_INJECTED}, h AS (SELECT s AS dataset, t, max(CASE WHEN fired.signature IS NULL THEN 0 ELSE 1 END) AS hit FROM (SELECT unnest({[r[0] for r in _RECIPES]}) AS s), (SELECT unnest(range(0, {_TRIALS})) AS t) LEFT JOIN fired ON fired.g = s || '/' || t AND fired.signature = s GROUP BY s, t)"
 
 
-@query("inject_recall", "SELECT unnest(['case_format_normalization', 'category_split_merge', 'numeric_distribution_shift', 'unit_scale_shift', 'value_substitution']) AS dataset, CAST(3 AS BIGINT) AS checks, CAST(3 AS BIGINT) AS hits, 1.0::DOUBLE AS rate UNION ALL SELECT NULL, 15, 15, 1.0")
+@query("inject_recall", _HITS_SQL + " SELECT dataset, count(*) AS checks, CAST(sum(hit) AS BIGINT) AS hits, avg(hit) AS rate FROM h GROUP BY ROLLUP (dataset)")
 def inject_recall(spark, sf_dir):
-    df = table(spark, sf_dir, "orders")
-    recipes = [
-        (C.VALUE_SUBSTITUTION, "o_orderstatus", lambda d: inject.substitute(d, "o_orderstatus", "F", "FINAL")),
-        (C.CASE_FORMAT, "o_orderpriority", lambda d: d.withColumn("o_orderpriority", F.lower("o_orderpriority"))),
-        (C.SPLIT_MERGE, "o_orderstatus", lambda d: d.withColumn("o_orderstatus", F.when(F.col("o_orderstatus") == "F", F.when(F.col("o_orderkey") % 2 == 0, "F1").otherwise("F2")).otherwise(F.col("o_orderstatus")))),
-        (C.UNIT_SCALE, "o_totalprice", lambda d: inject.scale(d, "o_totalprice", 100.0)),
-        (C.DISTRIBUTION_SHIFT, "o_totalprice", lambda d: inject.stretch(d, "o_totalprice", 250000.0, 2.0)),
-    ]
-    out = None
-    for signature, column, change in recipes:
-        rows = evaluate.injected_recall(df, column, signature, change, 2000, _TRIALS, "o_orderkey").withColumn("dataset", F.lit(signature))
-        rows = written(rows)
-        out = rows if out is None else out.unionByName(rows)
-    return evaluate.pooled(out)
+    return evaluate.pooled(evaluate.injected_recall(table(spark, sf_dir, "orders"), [r[:3] for r in _RECIPES], 2000, _TRIALS, "o_orderkey"))
 
 
 # Lineage, root causes, incidents --------------------------------------------------------
@@ -337,7 +358,7 @@ def lineage_upstream(spark, sf_dir):
     return lineage(spark, _EDGES).upstream("board")
 
 
-@query("lineage_cycle", "SELECT * FROM (VALUES ('a', 'b'), ('a', 'c'), ('b', 'a'), ('b', 'c'), ('c', 'a'), ('c', 'b')) AS t(src, dst)")
+@query("lineage_cycle", "WITH RECURSIVE e(src, dst) AS (VALUES ('a', 'b'), ('b', 'c'), ('c', 'a')), r(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src, dst FROM r WHERE src <> dst")
 def lineage_cycle(spark, sf_dir):
     return lineage(spark, [("a", "b"), ("b", "c"), ("c", "a")]).reach
 
@@ -411,9 +432,9 @@ def changes_union_dedup(spark, sf_dir):
     return out.select("change_id", "ts", F.array_join(F.sort_array("targets"), ",").alias("targets"), "label")
 
 
-@query("unknown_targets", "SELECT 'x' AS change_id, 'nowhere' AS target")
+@query("unknown_targets", "SELECT change_id, target FROM (VALUES ('x', 'fact'), ('x', 'nowhere'), ('y', 'dim'), ('y', 'gone')) AS c(change_id, target) WHERE target NOT IN (" + ", ".join(f"'{a}'" for a, _, _ in _FILES) + ")")
 def unknown_targets(spark, sf_dir):
-    return rca.unknown_targets(_changes(spark, [("x", "2026-01-01 00:00:00", ["fact", "nowhere"], "")]), _file_graph(spark))
+    return rca.unknown_targets(_changes(spark, [("x", "2026-01-01 00:00:00", ["fact", "nowhere"], ""), ("y", "2026-01-01 00:00:00", ["dim", "gone"], "")]), _file_graph(spark))
 
 
 #: (case, edges, observed assets, changes as (id, time, target)); observed at ten; the first change is the cause.
@@ -455,7 +476,7 @@ def rca_rank(spark, sf_dir):
     return ranked.select("case", "change_id", "n_explained", F.round("score", 6).alias("score"), "min_lead", "rank")
 
 
-@query("rca_cases_top1", "SELECT CAST(4 AS BIGINT) AS cases, 1.0::DOUBLE AS top1")
+@query("rca_cases_top1", _CASE_SQL + ", t AS (SELECT c, change_id FROM s WHERE c <> 'a_day_exactly' QUALIFY row_number() OVER (PARTITION BY c ORDER BY score DESC, ts DESC) = 1) SELECT count(*) AS cases, avg(CASE WHEN change_id = 'true' THEN 1.0 ELSE 0.0 END) AS top1 FROM t")
 def rca_cases_top1(spark, sf_dir):
     top = rca.rank_root_causes(*_case_tables(spark)).filter("rank = 1 AND case != 'a_day_exactly'")
     return top.agg(F.count(F.lit(1)).alias("cases"), F.avg((F.col("change_id") == "true").cast("double")).alias("top1"))
@@ -489,13 +510,28 @@ def _blast_incidents(spark) -> DataFrame:
     return rca.incidents(rows.withColumn("observed_at", F.col("observed_at").cast("timestamp_ntz")), _changes(spark, changes, "case"), graph)
 
 
-@query("severity_escalation", "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{s}', '{','.join(x)}')" for c, _, _, _, x, s in _BLAST) + ") AS t(\"case\", severity, exposures)")
+def _blast_values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in row) + ")" for row in rows)
+
+
+#: inc(c, rank, exposures): the changed asset is the cause; what lies below it, and the observed asset, is affected.
+_BLAST_SQL = (
+    "WITH RECURSIVE e(c, src, dst) AS (VALUES " + _blast_values([(c, a, b) for c, es, *_ in _BLAST for a, b in es]) + "), "
+    "x(c, unique_id, type, maturity, parent, meta, changed) AS (VALUES " + _blast_values([(c, i, k, m, p, o, changed) for c, _, (i, k, m, p, o), changed, _, _ in _BLAST]) + "), "
+    "r(c, src, dst) AS (SELECT c, src, dst FROM e UNION SELECT r.c, r.src, e.dst FROM r JOIN e ON r.c = e.c AND r.dst = e.src), "
+    "below AS (SELECT x.c, r.dst AS id FROM x JOIN r ON r.c = x.c AND r.src = x.changed), "
+    "hit AS (SELECT x.* FROM x WHERE x.parent = x.changed OR EXISTS (SELECT 1 FROM below b WHERE b.c = x.c AND b.id = x.parent)), "
+    f"inc AS (SELECT x.c, greatest(CASE WHEN EXISTS (SELECT 1 FROM below b WHERE b.c = x.c) THEN 3 ELSE 2 END, coalesce((SELECT max({_CRITICALITY_SQL}) FROM hit WHERE hit.c = x.c), 0)) AS rank, coalesce((SELECT string_agg(unique_id, ',') FROM hit WHERE hit.c = x.c), '') AS exposures FROM x)"
+)
+
+
+@query("severity_escalation", _BLAST_SQL + " SELECT c AS \"case\", ['low', 'medium', 'high', 'critical'][rank] AS severity, exposures FROM inc")
 def severity_escalation(spark, sf_dir):
     found = F.array_join(F.transform(F.coalesce("exposures", F.array().cast("array<struct<order:int,name:string,unique_id:string,type:string,owner:string,criticality:int>>")), lambda e: e["unique_id"]), ",")
     return _blast_incidents(spark).select("case", "severity", found.alias("exposures"))
 
 
-@query("eval_precision_recall", "SELECT CAST(4 AS BIGINT) AS tp, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall")
+@query("eval_precision_recall", _BLAST_SQL + ", w(c, id) AS (VALUES " + _blast_values([(c, x) for c, _, _, _, xs, _ in _BLAST for x in xs]) + "), n AS (SELECT count(*) FILTER (w.id IS NOT NULL AND h.unique_id IS NOT NULL) AS tp, count(*) FILTER (w.id IS NULL) AS fp, count(*) FILTER (h.unique_id IS NULL) AS fn FROM hit h FULL JOIN w ON w.c = h.c AND w.id = h.unique_id) SELECT tp, fp, fn, tp / CAST(tp + fp AS DOUBLE) AS precision, tp / CAST(tp + fn AS DOUBLE) AS recall FROM n")
 def eval_precision_recall(spark, sf_dir):
     found = _blast_incidents(spark).select("case", F.explode("exposures").alias("e")).select("case", F.col("e.unique_id").alias("id"))
     expected = spark.createDataFrame([(c, x) for c, _, _, _, xs, _ in _BLAST for x in xs], "case string, id string")
@@ -508,7 +544,7 @@ _SUBSTITUTED = O.value_substitution_sql("SELECT * FROM customer", _RENAMED, "c_m
 
 def _observed_rename(spark, sf_dir) -> DataFrame:
     df = table(spark, sf_dir, "customer")
-    found = compared(df, inject.substitute(df, "c_mktsegment", "BUILDING", "CONSTRUCTION"), ["c_mktsegment"], signatures=[C.VALUE_SUBSTITUTION])
+    found = compared(df, inject.substitute(df, "c_mktsegment", "BUILDING", "CONSTRUCTION"), ["c_mktsegment"])
     found = with_confidence(found)
     at = F.lit("2026-01-02 10:00:00").cast("timestamp_ntz")
     return found.select(F.lit("customer").alias("asset"), at.alias("observed_at"), F.lit(0).alias("obs_ord"), "column", "signature", "magnitude", "confidence", "from_value", "to_value", "significance_margin", "log10_n")
@@ -607,7 +643,7 @@ def store_prune(spark, sf_dir):
     return rows.filter(~(F.col("last_seen_at") < F.lit(datetime(2026, 1, 2)).cast("timestamp_ntz"))).select(*_HISTORY_COLUMNS)
 
 
-@query("gate_worst_severity", "SELECT 'critical' AS worst, true AS failed")
+@query("gate_worst_severity", _BLAST_SQL + " SELECT ['low', 'medium', 'high', 'critical'][max(rank)] AS worst, max(rank) >= 3 AS failed FROM inc")
 def gate_worst_severity(spark, sf_dir):
     rows = _blast_incidents(spark)
     rank = F.array_position(F.array(*[F.lit(s) for s in C.SEVERITIES]), F.col("severity"))

@@ -110,3 +110,35 @@ def all_signatures_sql(before: str, after: str, text: Sequence[str], numeric: Se
     return f"""WITH every AS ({every})
 SELECT * FROM every e WHERE NOT EXISTS (SELECT 1 FROM every w WHERE w."column" = e."column" AND
  ((w.signature = 'unit_scale_shift' AND e.signature = 'numeric_distribution_shift') OR (w.signature = 'case_format_normalization' AND e.signature = 'value_substitution')))"""
+
+
+def grouped_signatures_sql(long: str) -> str:
+    """CTEs giving fired(g, col, signature) of all groups at once, from rows (g, side, col, v, d): value as text and as number, side 0 or 1."""
+    norm = r"lower(trim(regexp_replace(v, '\s+', ' ', 'g')))"
+    return f"""long AS MATERIALIZED ({long}),
+cnt AS (SELECT g, col, side, v, count(*) AS n FROM long WHERE v IS NOT NULL GROUP BY ALL),
+top AS (SELECT * FROM cnt QUALIFY row_number() OVER (PARTITION BY g, col, side ORDER BY n DESC, v) <= 50),
+tot AS (SELECT g, col, CAST(sum(n) FILTER (side = 0) AS DOUBLE) AS nb, CAST(sum(n) FILTER (side = 1) AS DOUBLE) AS na FROM cnt GROUP BY g, col),
+kept AS (SELECT g, col, sum(n) FILTER (side = 0) AS kb, sum(n) FILTER (side = 1) AS ka FROM top GROUP BY g, col),
+cov AS (SELECT tot.* FROM tot JOIN kept USING (g, col) WHERE kb / nb >= 0.9 AND ka / na >= 0.9),
+mv AS (SELECT g, col, v, coalesce(sum(n) FILTER (side = 0), 0) AS b, coalesce(sum(n) FILTER (side = 1), 0) AS a FROM top GROUP BY g, col, v),
+fl AS (SELECT g, col, v, b / nb AS s0, a / na AS s1, (a + b) / (na + nb) AS p, nb, na FROM mv JOIN cov USING (g, col)),
+gap AS (SELECT g, col, v, s0, s1, s1 - s0 AS x, greatest(0.02, 3 * sqrt(p * (1 - p) * (1 / nb + 1 / na))) AS f FROM fl),
+dr AS (SELECT g, col, v, -x AS x FROM gap WHERE x <= -f AND s0 >= 0.03),
+ga AS (SELECT g, col, v, x FROM gap WHERE x >= f AND s1 >= 0.03),
+lost AS (SELECT g, col, count(*) AS nd, sum(x) AS l, max(x) AS fx FROM dr GROUP BY g, col),
+won AS (SELECT g, col, count(*) AS ng, sum(x) AS w FROM ga GROUP BY g, col),
+near AS (SELECT g, col, arg_min(ga.x, (abs(ga.x - fx), ga.v)) AS tx FROM ga JOIN lost USING (g, col) GROUP BY g, col),
+spelled AS (SELECT g, col, side, {norm} AS k, sum(n) AS n, arg_min(v, (-n, v)) AS r FROM top GROUP BY ALL),
+grp AS (SELECT g, col, k, coalesce(max(n) FILTER (side = 0), 0) / any_value(nb) AS s0, coalesce(max(n) FILTER (side = 1), 0) / any_value(na) AS s1, max(r) FILTER (side = 0) AS r0, max(r) FILTER (side = 1) AS r1 FROM spelled JOIN cov USING (g, col) GROUP BY g, col, k),
+quant AS (SELECT g, col, side, quantile_cont(d, [0.05, 0.25, 0.5, 0.75, 0.95]) AS q, count(d) AS n, coalesce(stddev_samp(d), 0) AS sd FROM long WHERE d IS NOT NULL GROUP BY ALL),
+num AS (SELECT b.g, b.col, b.q AS b, a.q AS a, b.q[5] - b.q[1] AS sb, a.q[5] - a.q[1] AS sa, b.sd, least(a.n, b.n) AS n FROM quant b JOIN quant a ON a.g = b.g AND a.col = b.col AND b.side = 0 AND a.side = 1),
+fit AS (SELECT g, col, abs(sa / sb - 1) AS f, abs(a[3] - b[3]) / sb AS reach, list_max(list_transform([1, 2, 3, 4, 5], lambda i: abs(a[i] - sa / sb * b[i]))) / sa AS rm, list_max(list_transform([1, 2, 3, 4, 5], lambda i: abs(a[i] - (b[i] + a[3] - b[3])))) / sa AS ra FROM num WHERE sb > 0 AND sa > 0 AND sb >= 0.001 * greatest(abs(b[3]), 1)),
+dist AS (SELECT g, col, n, list_sum(list_transform([1, 2, 3, 4, 5], lambda i: abs(a[i] - b[i]))) / 5 / CASE WHEN sb > 0.0001 * greatest(abs(b[3]), 1) THEN sb WHEN sd > 0.0001 * greatest(abs(b[3]), 1) THEN sd END AS d FROM num),
+every AS (
+ SELECT g, col, 'value_substitution' AS signature FROM lost JOIN won USING (g, col) JOIN near USING (g, col) WHERE (nd = 1) = (ng = 1) AND least(fx, tx) / greatest(fx, tx) >= 0.65
+ UNION ALL SELECT g, col, 'category_split_merge' FROM lost JOIN won USING (g, col) WHERE ((nd = 1 AND ng >= 2) OR (nd >= 2 AND ng = 1)) AND least(l, w) / greatest(l, w) >= 0.85
+ UNION ALL SELECT g, col, 'case_format_normalization' FROM grp GROUP BY g, col HAVING count(*) FILTER (s0 >= 0.03 AND r0 <> r1) > 0 AND sum(abs(s0 - s1)) / 2 <= 0.05 AND count(*) FILTER ((s0 >= 0.03 AND r1 IS NULL) OR (s1 >= 0.03 AND r0 IS NULL)) = 0
+ UNION ALL SELECT g, col, 'unit_scale_shift' FROM fit WHERE (rm <= 0.05 AND f >= 0.2) OR (ra <= 0.05 AND reach >= 0.2)
+ UNION ALL SELECT g, col, 'numeric_distribution_shift' FROM dist WHERE d >= greatest(0.1, 3 * 0.38 / sqrt(n))),
+fired AS (SELECT * FROM every e WHERE NOT EXISTS (SELECT 1 FROM every w WHERE w.g = e.g AND w.col = e.col AND ((w.signature = 'unit_scale_shift' AND e.signature = 'numeric_distribution_shift') OR (w.signature = 'case_format_normalization' AND e.signature = 'value_substitution'))))"""
