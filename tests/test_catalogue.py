@@ -3,7 +3,7 @@ import os
 import pytest
 
 from compare import connect, rows_of, rows_of_sql
-from tidemark.plans import catalogue
+from tidemark.plans import catalogue, workloads  # noqa: F401
 
 LARGER = "/root/testdata/sf0.01"
 #: Quick ones; all run against SQL in the driver's correctness gate.

@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from collections.abc import Sequence
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -20,8 +21,9 @@ from tidemark.gate import gate_failed, worst_severity
 from tidemark.operators import rca
 from tidemark.operators.calibration import LogisticModel
 from tidemark.operators.lineage import Lineage, load_manifest
+from tidemark.operators.profile import compared_columns
 from tidemark.operators.store import IncidentStore
-from tidemark.plans.analyze import ChangeEvent, Incident, analyze_change, change_frame
+from tidemark.plans.analyze import AssetSnapshots, ChangeEvent, Incident, analyze_assets, change_frame
 from tidemark.render import AssetResult, as_json, markdown, multi_json, multi_markdown
 from tidemark.sources.changes import collect_commits, commit_frame, resolve_range
 from tidemark.sources.files import read_snapshot, read_table
@@ -65,14 +67,36 @@ def _changes(spark: SparkSession, asset: Asset, graph: Lineage, derived: DataFra
     return [ChangeEvent(r["change_id"], r["ts"], list(r["targets"]), r["label"]) for r in rows]
 
 
-def analyze_asset(spark: SparkSession, asset: Asset, graph: Lineage, derived: DataFrame, model: LogisticModel | None) -> AssetResult:
-    """Errors become part of the result."""
-    try:
-        before, after = _snapshots(spark, asset)
-        changes = _changes(spark, asset, graph, derived)
-        return AssetResult(asset.name, analyze_change(before, after, asset=asset.name, changes=changes, lineage=graph, columns=asset.columns, model=model))
-    except (EngineError, PySparkException) as e:
-        return AssetResult(asset.name, error=str(e))
+def analyze_listed(spark: SparkSession, assets: Sequence[Asset], graph: Lineage, derived: DataFrame, model: LogisticModel | None) -> list[AssetResult]:
+    """All assets in one analysis; errors become part of an asset's result.
+
+    What only shows when data are read fails the analysis of all; then each is analysed alone.
+    """
+    results: dict[str, AssetResult] = {}
+    ready: list[AssetSnapshots] = []
+    for asset in assets:
+        try:
+            before, after = _snapshots(spark, asset)
+            compared_columns(before, after, asset.columns)
+            ready.append(AssetSnapshots(asset.name, before, after, _changes(spark, asset, graph, derived), asset.columns))
+        except (EngineError, PySparkException) as e:
+            results[asset.name] = AssetResult(asset.name, error=str(e))
+
+    def together(some: list[AssetSnapshots]) -> None:
+        try:
+            found = analyze_assets(some, lineage=graph, model=model)
+        except (EngineError, PySparkException) as e:
+            if len(some) == 1:
+                results[some[0].name] = AssetResult(some[0].name, error=str(e))
+                return
+            for one in some:
+                together([one])
+            return
+        results.update({name: AssetResult(name, incident) for name, incident in found.items()})
+
+    if ready:
+        together(ready)
+    return [results[a.name] for a in assets]
 
 
 def record_frame(spark: SparkSession, asset: str, x: Incident) -> DataFrame:
@@ -87,7 +111,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
     graph = load_manifest(spark, config.manifest)
     derived = rca.derive_changes(commit_frame(spark, collect_commits(*resolve_range(config.git_base, config.git_head))), graph)
     model = LogisticModel() if config.model else None
-    results = [analyze_asset(spark, a, graph, derived, model) for a in sorted(config.assets, key=lambda a: a.name)]
+    results = analyze_listed(spark, sorted(config.assets, key=lambda a: a.name), graph, derived, model)
     worst = worst_severity(r.incident.severity if r.incident else None for r in results)
     failed, now = gate_failed(worst, config.fail_on), datetime.now(UTC)
     if config.multi:

@@ -1,0 +1 @@
+"""Tables in, tables out: profiles, signatures, lineage, causes, history, calibration."""

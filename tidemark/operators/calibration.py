@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,6 +38,14 @@ class LogisticModel:
     def to_dict(self) -> dict:
         return asdict(self)
 
+    def save(self, path: str | Path) -> None:
+        Path(path).write_text(json.dumps(self.to_dict(), indent=2) + "\n", encoding="utf-8")
+
+    @classmethod
+    def load(cls, path: str | Path | None = None) -> LogisticModel:
+        """A saved model; the frozen one without a path."""
+        return cls() if path is None else cls.from_dict(json.loads(Path(path).read_text(encoding="utf-8")))
+
     @classmethod
     def from_dict(cls, d: dict) -> LogisticModel:
         return cls(list(d["weights"]), float(d["intercept"]), list(d["feature_mean"]), list(d["feature_std"]))

@@ -76,6 +76,25 @@ class Lineage:
             self._reach = closure(self.edges, self.by)
         return self._reach
 
+    def for_runs(self, runs: DataFrame, by: str) -> Lineage:
+        """The same graph for each value of ``by`` in ``runs``, its closure computed once. Graph and runs are control data."""
+        runs = F.broadcast(runs.select(by))
+        out = Lineage(self.nodes.crossJoin(runs), self.edges.crossJoin(runs), self.exposures.crossJoin(runs), (*self.by, by))
+        out._reach = self.reach.crossJoin(runs)
+        return out
+
+    def add_node(self, node: str, kind: str | None = "data", path: str | None = None) -> Lineage:
+        """A graph with one node more; a known node is replaced."""
+        row = self.nodes.sparkSession.createDataFrame([(node, kind, None, path)], NODE)
+        return Lineage(self.nodes.filter(F.col("id") != node).unionByName(row), self.edges, self.exposures, self.by)
+
+    def add_edge(self, src: str, dst: str) -> Lineage:
+        """A graph with one edge more, and its ends as nodes."""
+        spark = self.nodes.sparkSession
+        ends = spark.createDataFrame([(x, None, None, None) for x in dict.fromkeys((src, dst))], NODE)
+        nodes = self.nodes.unionByName(ends.join(self.nodes.select("id"), "id", "left_anti").select(*self.nodes.columns))
+        return Lineage(nodes, self.edges.unionByName(spark.createDataFrame([(src, dst)], EDGE)), self.exposures, self.by)
+
     def downstream(self, node: str) -> DataFrame:
         return self.reach.filter(F.col("src") == node).select(*self.by, F.col("dst").alias("id"))
 

@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.constants import SEVERITIES
 from tidemark.errors import EngineError
 
 #: Snapshots that are kept, the current one among them.
@@ -118,3 +119,12 @@ class IncidentStore:
 
 def history_of(table: DataFrame, asset: str) -> DataFrame:
     return table.filter(F.col("asset") == asset).orderBy(F.desc_nulls_last("last_detected_at"), "identity_key")
+
+
+def incident_list(table: DataFrame, severity: str | None = None, order: str = "severity") -> DataFrame:
+    """``table`` with ``place``: of one severity or all, by severity, confidence or time; later ones first, ties by key."""
+    rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
+    recent = F.desc_nulls_last("last_detected_at")
+    orders = {"severity": [rank.desc(), recent], "confidence": [F.desc_nulls_last("confidence")], "recent": [recent]}
+    rows = table if severity is None else table.filter(F.col("severity") == severity)
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*orders[order], "identity_key")))

@@ -1,0 +1 @@
+"""The driver's API and the catalogue of queries."""

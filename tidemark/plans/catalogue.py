@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
+from tidemark.evaluation import cases
 from tidemark.operators import calibration, evaluate, inject, rca, store
 from tidemark.operators.detect import detect, detect_pairs, pair, quantile_distance, with_confidence
 from tidemark.operators.lineage import EDGE, lineage, with_criticality
@@ -413,13 +414,6 @@ def change_events_from_commits(spark, sf_dir):
     return rca.derive_changes(_commits(spark), _file_graph(spark)).withColumn("targets", F.array_join("targets", ","))
 
 
-def _changes(spark, rows: list[tuple], by: str = "") -> DataFrame:
-    """(case,) id, time, targets, label."""
-    schema = (by + " string, " if by else "") + "change_id string, ts string, targets array<string>, label string, change_ord int"
-    keyed = [(*r, i) for i, r in enumerate(rows)]
-    return spark.createDataFrame(keyed, schema).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-
-
 _DECLARED = [("aaaaaaa", "2026-01-02 09:00:00", ["fact", "dim"], "declared twin"), ("manual", "2026-01-04 09:00:00", ["dim"], "by hand"), ("manual", "2026-01-04 09:00:00", ["dim"], "repeat")]
 
 
@@ -428,43 +422,20 @@ _DECLARED = [("aaaaaaa", "2026-01-02 09:00:00", ["fact", "dim"], "declared twin"
        "b AS (SELECT change_id, ts, targets, label, 0 AS l, o FROM d UNION ALL SELECT change_id, ts, targets, label, 1, o FROM g) SELECT change_id, ts, targets, label FROM b QUALIFY row_number() OVER (PARTITION BY change_id, targets, ts ORDER BY l, o) = 1")
 def changes_union_dedup(spark, sf_dir):
     derived = rca.derive_changes(_commits(spark), _file_graph(spark))
-    out = rca.combine_changes(_changes(spark, _DECLARED), derived)
+    out = rca.combine_changes(cases.change_rows(spark, _DECLARED), derived)
     return out.select("change_id", "ts", F.array_join(F.sort_array("targets"), ",").alias("targets"), "label")
 
 
 @query("unknown_targets", "SELECT change_id, target FROM (VALUES ('x', 'fact'), ('x', 'nowhere'), ('y', 'dim'), ('y', 'gone')) AS c(change_id, target) WHERE target NOT IN (" + ", ".join(f"'{a}'" for a, _, _ in _FILES) + ")")
 def unknown_targets(spark, sf_dir):
-    return rca.unknown_targets(_changes(spark, [("x", "2026-01-01 00:00:00", ["fact", "nowhere"], ""), ("y", "2026-01-01 00:00:00", ["dim", "gone"], "")]), _file_graph(spark))
-
-
-#: (case, edges, observed assets, changes as (id, time, target)); observed at ten; the first change is the cause.
-_CASES = [
-    ("direct_with_irrelevant_and_late", [("U", "X"), ("X", "Y"), ("V", "W")], ["X"], [("true", "09:55", "X"), ("irrelevant", "09:56", "W"), ("too_late", "10:05", "X")]),
-    ("closest_upstream_wins", [("U", "X"), ("X", "Y")], ["Y"], [("true", "09:50", "X"), ("far", "02:00", "U")]),
-    ("coverage_wins", [("A", "X"), ("A", "Z")], ["X", "Z"], [("true", "09:50", "A"), ("partial", "09:55", "X")]),
-    ("dense_concurrency", [("U", "X"), ("X", "Y"), ("V", "W"), ("P", "Q")], ["Y"], [("true", "09:58", "X"), ("noise_w", "09:58", "W"), ("noise_q", "09:59", "Q"), ("noise_v", "09:57", "V")]),
-    ("a_day_exactly", [("U", "X")], ["X"], [("edge", "10:00", "U")]),
-]
-_DAY = {"edge": "2026-01-01"}
-
-
-def _case_tables(spark):
-    edges = spark.createDataFrame([(c, a, b) for c, es, _, _ in _CASES for a, b in es], "case string, " + EDGE)
-    graph = lineage(spark, [("x", "y")])
-    nodes = edges.select("case", F.explode(F.array("src", "dst")).alias("id")).distinct().selectExpr("case", "id", "'data' AS kind", "cast(null AS string) AS resource_type", "cast(null AS string) AS original_file_path")
-    graph = type(graph)(nodes, edges, graph.exposures.withColumn("case", F.lit("")), by=("case",))
-    observed = [(c, a, "2026-01-02 10:00:00", i, "v", C.VALUE_SUBSTITUTION, 0.4, 0.9) for c, _, seen, _ in _CASES for i, a in enumerate(seen)]
-    observations = spark.createDataFrame(observed, "case string, asset string, observed_at string, obs_ord int, column string, signature string, magnitude double, confidence double")
-    observations = observations.withColumn("observed_at", F.col("observed_at").cast("timestamp_ntz"))
-    changes = _changes(spark, [(c, i, f"{_DAY.get(i, '2026-01-02')} {t}:00", [x], i) for c, _, _, cs in _CASES for i, t, x in cs], "case")
-    return observations, changes, graph
+    return rca.unknown_targets(cases.change_rows(spark, [("x", "2026-01-01 00:00:00", ["fact", "nowhere"], ""), ("y", "2026-01-01 00:00:00", ["dim", "gone"], "")]), _file_graph(spark))
 
 
 _CASE_SQL = (
-    "WITH RECURSIVE e(c, src, dst) AS (VALUES " + ", ".join(f"('{c}', '{a}', '{b}')" for c, es, _, _ in _CASES for a, b in es) + "), "
+    "WITH RECURSIVE e(c, src, dst) AS (VALUES " + ", ".join(f"('{c}', '{a}', '{b}')" for c, es, _, _ in cases.RCA_CASES for a, b in es) + "), "
     "r(c, src, dst) AS (SELECT c, src, dst FROM e UNION SELECT r.c, r.src, e.dst FROM r JOIN e ON r.c = e.c AND r.dst = e.src), "
-    "o(c, asset) AS (VALUES " + ", ".join(f"('{c}', '{a}')" for c, _, seen, _ in _CASES for a in seen) + "), "
-    "h(c, change_id, ts, target) AS (VALUES " + ", ".join(f"('{c}', '{i}', TIMESTAMP '{_DAY.get(i, '2026-01-02')} {t}:00', '{x}')" for c, _, _, cs in _CASES for i, t, x in cs) + "), "
+    "o(c, asset) AS (VALUES " + ", ".join(f"('{c}', '{a}')" for c, _, seen, _ in cases.RCA_CASES for a in seen) + "), "
+    "h(c, change_id, ts, target) AS (VALUES " + ", ".join(f"('{c}', '{i}', TIMESTAMP '{cases.DAY.get(i, '2026-01-02')} {t}:00', '{x}')" for c, _, _, cs in cases.RCA_CASES for i, t, x in cs) + "), "
     "j AS (SELECT h.c, change_id, ts, asset, epoch(TIMESTAMP '2026-01-02 10:00:00') - epoch(ts) AS lead FROM h JOIN o USING (c) WHERE (asset = target OR EXISTS (SELECT 1 FROM r WHERE r.c = h.c AND src = target AND dst = asset))), "
     "s AS (SELECT j.c, change_id, ts, count(*) AS n, 0.6 * count(*) / (SELECT count(*) FROM o WHERE o.c = j.c) + 0.4 * avg(1 - lead / 86400) AS score, min(lead) AS min_lead FROM j WHERE lead BETWEEN 0 AND 86400 GROUP BY j.c, change_id, ts) "
 )
@@ -472,52 +443,24 @@ _CASE_SQL = (
 
 @query("rca_rank", _CASE_SQL + "SELECT c AS \"case\", change_id, CAST(n AS BIGINT) AS n_explained, round(score, 6) AS score, CAST(min_lead AS DOUBLE) AS min_lead, CAST(row_number() OVER (PARTITION BY c ORDER BY score DESC, ts DESC) AS INT) AS rank FROM s")
 def rca_rank(spark, sf_dir):
-    ranked = rca.rank_root_causes(*_case_tables(spark))
+    ranked = rca.rank_root_causes(*cases.rca_tables(spark))
     return ranked.select("case", "change_id", "n_explained", F.round("score", 6).alias("score"), "min_lead", "rank")
 
 
 @query("rca_cases_top1", _CASE_SQL + ", t AS (SELECT c, change_id FROM s WHERE c <> 'a_day_exactly' QUALIFY row_number() OVER (PARTITION BY c ORDER BY score DESC, ts DESC) = 1) SELECT count(*) AS cases, avg(CASE WHEN change_id = 'true' THEN 1.0 ELSE 0.0 END) AS top1 FROM t")
 def rca_cases_top1(spark, sf_dir):
-    top = rca.rank_root_causes(*_case_tables(spark)).filter("rank = 1 AND case != 'a_day_exactly'")
+    top = rca.rank_root_causes(*cases.rca_tables(spark)).filter("rank = 1 AND case != 'a_day_exactly'")
     return top.agg(F.count(F.lit(1)).alias("cases"), F.avg((F.col("change_id") == "true").cast("double")).alias("top1"))
 
 
-#: (case, model edges, exposures as (id, type, maturity, parent, override), changed, expected exposures, expected severity)
-_BLAST = [
-    ("dashboard_high", [("root", "leaf")], ("e.dash", "dashboard", "high", "leaf", None), "leaf", ["e.dash"], "high"),
-    ("application_critical", [("fact", "rev")], ("e.api", "application", "high", "rev", None), "fact", ["e.api"], "critical"),
-    ("override_critical", [("fact", "rev")], ("e.ovr", "dashboard", "medium", "rev", "critical"), "fact", ["e.ovr"], "critical"),
-    ("sibling_decoy", [("root", "a"), ("root", "b")], ("e.dash", "dashboard", "high", "b", None), "a", [], "medium"),
-    ("ancestor_decoy", [("up", "mid"), ("mid", "down")], ("e.dash", "dashboard", "high", "up", None), "mid", [], "high"),
-    ("notebook_no_escalation", [("fact", "rev")], ("e.nb", "notebook", "high", "rev", None), "fact", ["e.nb"], "high"),
-]
-
-
-def _blast_incidents(spark) -> DataFrame:
-    """Incidents of the blast-radius cases; the symptom is on the first asset below the changed one, else on that."""
-    edges, nodes, exposures, observed, changes = [], [], [], [], []
-    for case, es, (xid, kind, maturity, parent, override), changed, _, _ in _BLAST:
-        edges += [(case, a, b) for a, b in es] + [(case, parent, xid)]
-        nodes += [(case, x, "data", None, None) for x in dict.fromkeys(y for e in es for y in e)] + [(case, xid, "exposure", "exposure", None)]
-        exposures.append((case, xid, xid, kind, maturity, override, "", None, [parent]))
-        below = sorted(b for a, b in es if a == changed)
-        observed.append((case, below[0] if below else changed, "2026-01-02 10:00:00", 0, "v", C.VALUE_SUBSTITUTION, 0.4, 0.9))
-        changes.append((case, "c1", "2026-01-02 09:50:00", [changed], "deploy"))
-    from tidemark.operators.lineage import EXPOSURE, NODE, Lineage
-
-    graph = Lineage(spark.createDataFrame(nodes, "case string, " + NODE), spark.createDataFrame(edges, "case string, " + EDGE), spark.createDataFrame(exposures, "case string, " + EXPOSURE), ("case",))
-    rows = spark.createDataFrame(observed, "case string, asset string, observed_at string, obs_ord int, column string, signature string, magnitude double, confidence double")
-    return rca.incidents(rows.withColumn("observed_at", F.col("observed_at").cast("timestamp_ntz")), _changes(spark, changes, "case"), graph)
-
-
 def _blast_values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in row) + ")" for row in rows)
 
 
 #: inc(c, rank, exposures): the changed asset is the cause; what lies below it, and the observed asset, is affected.
 _BLAST_SQL = (
-    "WITH RECURSIVE e(c, src, dst) AS (VALUES " + _blast_values([(c, a, b) for c, es, *_ in _BLAST for a, b in es]) + "), "
-    "x(c, unique_id, type, maturity, parent, meta, changed) AS (VALUES " + _blast_values([(c, i, k, m, p, o, changed) for c, _, (i, k, m, p, o), changed, _, _ in _BLAST]) + "), "
+    "WITH RECURSIVE e(c, src, dst) AS (VALUES " + _blast_values([(c, a, b) for c, es, *_ in cases.BLAST_CASES for a, b in es]) + "), "
+    "x(c, unique_id, type, maturity, parent, meta, changed) AS (VALUES " + _blast_values([(c, i, k, m, p, o, changed) for c, _, (i, k, m, p, o), changed, _, _ in cases.BLAST_CASES]) + "), "
     "r(c, src, dst) AS (SELECT c, src, dst FROM e UNION SELECT r.c, r.src, e.dst FROM r JOIN e ON r.c = e.c AND r.dst = e.src), "
     "below AS (SELECT x.c, r.dst AS id FROM x JOIN r ON r.c = x.c AND r.src = x.changed), "
     "hit AS (SELECT x.* FROM x WHERE x.parent = x.changed OR EXISTS (SELECT 1 FROM below b WHERE b.c = x.c AND b.id = x.parent)), "
@@ -528,13 +471,13 @@ _BLAST_SQL = (
 @query("severity_escalation", _BLAST_SQL + " SELECT c AS \"case\", ['low', 'medium', 'high', 'critical'][rank] AS severity, exposures FROM inc")
 def severity_escalation(spark, sf_dir):
     found = F.array_join(F.transform(F.coalesce("exposures", F.array().cast("array<struct<order:int,name:string,unique_id:string,type:string,owner:string,criticality:int>>")), lambda e: e["unique_id"]), ",")
-    return _blast_incidents(spark).select("case", "severity", found.alias("exposures"))
+    return cases.blast_incidents(spark).select("case", "severity", found.alias("exposures"))
 
 
-@query("eval_precision_recall", _BLAST_SQL + ", w(c, id) AS (VALUES " + _blast_values([(c, x) for c, _, _, _, xs, _ in _BLAST for x in xs]) + "), n AS (SELECT count(*) FILTER (w.id IS NOT NULL AND h.unique_id IS NOT NULL) AS tp, count(*) FILTER (w.id IS NULL) AS fp, count(*) FILTER (h.unique_id IS NULL) AS fn FROM hit h FULL JOIN w ON w.c = h.c AND w.id = h.unique_id) SELECT tp, fp, fn, tp / CAST(tp + fp AS DOUBLE) AS precision, tp / CAST(tp + fn AS DOUBLE) AS recall FROM n")
+@query("eval_precision_recall", _BLAST_SQL + ", w(c, id) AS (VALUES " + _blast_values([(c, x) for c, _, _, _, xs, _ in cases.BLAST_CASES for x in xs]) + "), n AS (SELECT count(*) FILTER (w.id IS NOT NULL AND h.unique_id IS NOT NULL) AS tp, count(*) FILTER (w.id IS NULL) AS fp, count(*) FILTER (h.unique_id IS NULL) AS fn FROM hit h FULL JOIN w ON w.c = h.c AND w.id = h.unique_id) SELECT tp, fp, fn, tp / CAST(tp + fp AS DOUBLE) AS precision, tp / CAST(tp + fn AS DOUBLE) AS recall FROM n")
 def eval_precision_recall(spark, sf_dir):
-    found = _blast_incidents(spark).select("case", F.explode("exposures").alias("e")).select("case", F.col("e.unique_id").alias("id"))
-    expected = spark.createDataFrame([(c, x) for c, _, _, _, xs, _ in _BLAST for x in xs], "case string, id string")
+    found = cases.blast_incidents(spark).select("case", F.explode("exposures").alias("e")).select("case", F.col("e.unique_id").alias("id"))
+    expected = spark.createDataFrame([(c, x) for c, _, _, _, xs, _ in cases.BLAST_CASES for x in xs], "case string, id string")
     return evaluate.set_scores(found, expected)
 
 
@@ -566,7 +509,7 @@ def confidence_score(spark, sf_dir):
 
 @query("incident_synthesis", f"SELECT 'customer' AS asset, x.\"column\", x.signature, x.magnitude, x.from_value, x.to_value, 'deploy-7' AS change_id, 'high' AS severity, 'lineitem,orders' AS affected, round({_CONFIDENCE_SQL}, 6) AS confidence, TIMESTAMP '2026-01-02 10:00:00' AS detected_at FROM ({_SUBSTITUTED}) x, {_MAGNITUDE_SQL}")
 def incident_synthesis(spark, sf_dir):
-    changes = _changes(spark, [("deploy-7", "2026-01-02 09:30:00", ["customer"], "rename segments"), ("deploy-6", "2025-12-30 09:00:00", ["nation"], "old"), ("deploy-5", "2026-01-02 09:45:00", ["side"], "elsewhere")])
+    changes = cases.change_rows(spark, [("deploy-7", "2026-01-02 09:30:00", ["customer"], "rename segments"), ("deploy-6", "2025-12-30 09:00:00", ["nation"], "old"), ("deploy-5", "2026-01-02 09:45:00", ["side"], "elsewhere")])
     found = rca.incidents(_observed_rename(spark, sf_dir), changes, lineage(spark, _EDGES))
     w = lambda c: F.col(f"worst.{c}").alias(c)
     return found.select(w("asset"), w("column"), w("signature"), F.round("worst.magnitude", 6).alias("magnitude"), w("from_value"), w("to_value"), "change_id", "severity", F.array_join("affected", ",").alias("affected"), F.round("worst.confidence", 6).alias("confidence"), "detected_at")
@@ -645,7 +588,7 @@ def store_prune(spark, sf_dir):
 
 @query("gate_worst_severity", _BLAST_SQL + " SELECT ['low', 'medium', 'high', 'critical'][max(rank)] AS worst, max(rank) >= 3 AS failed FROM inc")
 def gate_worst_severity(spark, sf_dir):
-    rows = _blast_incidents(spark)
+    rows = cases.blast_incidents(spark)
     rank = F.array_position(F.array(*[F.lit(s) for s in C.SEVERITIES]), F.col("severity"))
     return rows.agg(F.max(rank).alias("r")).select(rca.severity_name(F.col("r").cast("int")).alias("worst"), (F.col("r") >= C.SEVERITIES.index("high") + 1).alias("failed"))
 

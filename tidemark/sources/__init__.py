@@ -1,0 +1 @@
+"""Snapshots, tables, commits, warehouses; import from the modules."""

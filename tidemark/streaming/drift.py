@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark import constants as C
 from tidemark.operators.detect import detect
 from tidemark.operators.profile import NUMERIC
+from tidemark.scratch import written
 
 
 def window_counts(events: DataFrame, time: str, column: str, *, window: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -38,24 +39,38 @@ def window_profiles(counts: DataFrame, column: str, top_k: int = C.TOP_K) -> Dat
 
 def drift(profiles: DataFrame) -> DataFrame:
     """Symptoms of each window against the one before it; ``start`` is the later window's."""
-    starts = profiles.select("start").distinct()
-    order = starts.withColumn("next", F.lead("start").over(Window.orderBy("start")))
-    before = profiles.join(order, "start").filter("next IS NOT NULL").drop("start").withColumnRenamed("next", "start")
+    order = profiles.select("column", "start").distinct().withColumn("next", F.lead("start").over(Window.partitionBy("column").orderBy("start")))
+    before = profiles.join(order, ["column", "start"]).filter("next IS NOT NULL").drop("start").withColumnRenamed("next", "start")
     return detect(before, profiles, by=["start"])
 
 
 def monitor(events: DataFrame, time: str, column: str, on_symptoms: Callable[[DataFrame, int], None], *, window: str = "1 day", late: str = "1 hour", checkpoint: str, state: str, triggers: Sequence[str] = ()):
-    """Start a query that appends closed windows to ``state`` and hands new symptoms to ``on_symptoms``.
+    """Start a query that hands new symptoms to ``on_symptoms``.
 
-    A batch that is run again after a failure writes the same folder again.
+    Each batch reads one profile, the last window's of the batch before, and writes its
+    own last one to ``state``: what is kept does not grow with the stream. A batch that
+    is run again after a failure reads and writes the same folders again.
     """
 
     def batch(counts: DataFrame, number: int) -> None:
-        counts.write.mode("overwrite").parquet(f"{state}/batch={number:09d}")
-        new = counts.select("start").distinct()
-        every = counts.sparkSession.read.parquet(state).drop("batch")
-        found = drift(window_profiles(every, column))
-        on_symptoms(found.join(new, "start", "left_semi"), number)
+        spark = counts.sparkSession
+        new = written(window_profiles(counts, column))
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = path(state).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(path(state))
+        earlier = sorted(int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(path(state)))
+        earlier = [n for n in earlier if n < number]
+        every = new
+        if earlier:
+            every = spark.read.schema(new.schema).parquet(f"{state}/batch={earlier[-1]:09d}").unionByName(new)
+        if new.isEmpty():
+            return
+        found = drift(every)
+        on_symptoms(found.join(new.select("start").distinct(), "start", "left_semi"), number)
+        last = new.agg(F.max("start").alias("start"))
+        new.join(F.broadcast(last), "start").select(*new.columns).write.mode("overwrite").parquet(f"{state}/batch={number:09d}")
+        for n in earlier[:-1]:
+            fs.delete(path(f"{state}/batch={n:09d}"), True)
 
     writer = window_counts(events, time, column, window=window, late=late).writeStream.outputMode("append").foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if "once" in triggers else writer).start()
