@@ -3,19 +3,23 @@
 Counting. Tasks turn blocks of documents into sorted arrays of hashed n-grams with
 their counts in the block, cut into shards by hash. A shard's task adds the arrays
 up. A frequent word is one entry of each block, so no key is hot, and rows are blocks
-rather than words. The shard also sends every block the totals of its words, which is
-all that the exact add-one score needs: texts are not shuffled.
-
-Model. An n-gram of count c has level 1 + floor(log2 c). The filter holds the pairs
-(n-gram, 1) up to (n-gram, level); a count is read back by probing levels until one
-is missing. Unigrams of any count and bigrams seen twice or more are held. The filter
-has at most ``FILTER_BITS`` bits, whatever the corpus: where the entries would not
-fit, the least level that is held rises, bigrams first. It is built by region, in
-parallel, and broadcast.
-
-Score. log10 of a linear mix of bigram and add-one unigram estimates. The bigrams'
-weight is the leave-one-out probability that a bigram occurs elsewhere in the
-training text. The first word and words after an unknown one use unigrams alone.
+rather than words. Bigrams go to the shard of their first word, which so sees all that
+may follow it; those of the words that a sample finds frequent go by their second word,
+and what is known of their first is added up over shards.
+
+Filter. An n-gram of count c has level 1 + floor(log2 c). The filter holds the pairs
+(n-gram, 1) up to (n-gram, level) of every unigram and bigram; a count is read back by
+probing levels until one is missing, and stands for its level's middle. The filter grows
+with the corpus, so it is not broadcast as a whole: a shard's task builds the part of
+its n-grams, region by region, probes it for the n-grams of all blocks, and sends each
+block the levels read. No n-gram is left out at any size.
+
+Score. log10 of an interpolated bigram model (Witten and Bell): of the S followers of a
+word h counted in the filter, T different ones,
+    p(w | h) = (c(h w) + T p(w)) / (S + T),  p(w) = (c(w) + 1) / (N + V + 1),
+with one unknown word. S, T and N are sums of the counts that the filter stands for, so
+the probabilities of all next words add up to 1, but for the filter's false positives (of
+``HASHES`` bits each). The first word, and words after an unknown one, have p(w).
 
 Edge cases: null and blank texts are the end token alone; rows without an id are
 training rows; repeated rows are scored, and learned from, one by one; without
@@ -37,20 +41,24 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_arrow, scan_id, written
 
-#: Text bytes per shard, and the bound on regions of the filter.
+#: Text bytes per shard.
 SHARD_BYTES = 16 << 20
-MOST_REGIONS = 1024
-#: Bound of the filter (64 MB), bits for an entry, bits set for an entry.
-FILTER_BITS = 1 << 29
-BITS_PER_ENTRY = 12
-HASHES = 4
+#: Bound on the bits of one region of the filter; bits for an entry, bits set for an entry.
+FILTER_BITS = 1 << 24
+BITS_PER_ENTRY = 40
+HASHES = 28
 #: Least level held of unigrams and bigrams.
-LEAST_LEVEL = (1, 2)
+LEAST_LEVEL = (1, 1)
 LEVELS = 48
+#: One text of so many is read to find frequent words: those of more than this share of a shard's words, and the most of them.
+SAMPLE = 64
+FREQUENT_SHARE = 0.05
+MOST_FREQUENT = 1 << 16
 END = b""
 PARTS, HELD_OUT = 7, 2
 
-UNIGRAMS, BIGRAMS, PAIRS, TOTALS, TABLE, LEVEL = range(6)
+#: Kinds of rows: n-grams of a block; a block's tokens; totals, levels and follower sums for a block; sums of frequent words; levels counted.
+UNIGRAMS, BIGRAMS, SPREAD, TOKENS, TOTALS, LEVELS_1, LEVELS_2, LEVELS_S, FOLLOWERS, FREQUENT, COUNTED = range(11)
 BLOCK = "kind int, shard int, block long, x long, y long, a binary, b binary, c binary, d binary"
 
 
@@ -99,11 +107,22 @@ def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return hashes[order], rank[np.concatenate(ids)], np.repeat(np.arange(len(texts)), lengths)
 
 
-def _bigrams(hashes: np.ndarray, place: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(48-bit keys, positions of the second words) of all bigrams within texts."""
+def _pairs(hashes: np.ndarray, place: np.ndarray, doc: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, positions of the second words, whether the first is frequent) of all bigrams within texts.
+
+    A key is 32 bits of either word's hash, the first word's above; of bigrams of a
+    frequent first word the second word's above.
+    """
     at = np.flatnonzero(doc[1:] == doc[:-1]) + 1
-    keys = _mixed(_mixed(hashes[place[at - 1]]) + hashes[place[at]])
-    return keys & np.uint64(0xFFFFFFFFFFFF0000), at
+    first, second = (hashes[place[x]] >> np.uint64(32) for x in (at - 1, at))
+    spread = _among(first, frequent)
+    return np.where(spread, second << np.uint64(32) | first, first << np.uint64(32) | second), at, spread
+
+
+def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(x), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
 
 
 def _row(kind: int, shard: int = 0, block: int = 0, x: int = 0, y: int = 0, *blobs: bytes) -> tuple:
@@ -115,7 +134,7 @@ def _record(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["kind", "shard", "block", "x", "y", "a", "b", "c", "d"])
 
 
-def _count_blocks(shard_bits: int):
+def _count_blocks(shard_bits: int, told):
     shift = np.uint64(64 - shard_bits)
 
     def cut(kind: int, block: int, keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
@@ -130,20 +149,25 @@ def _count_blocks(shard_bits: int):
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = told.value
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             if not batch.num_rows:
                 continue
-            learn = batch.column(1).to_numpy(zero_copy_only=False)
-            hashes, place, doc = _tokens(batch.column(2).to_pylist())
-            counts = np.bincount(place[learn[doc]], minlength=len(hashes))
-            rows = cut(UNIGRAMS, block, hashes, counts)
-            keys, at = _bigrams(hashes, place, doc)
-            rows += cut(BIGRAMS, block, *np.unique(keys[learn[doc[at]]], return_counts=True))
-            pair, times = np.unique(place * batch.num_rows + doc, return_counts=True)
-            per_word = np.bincount(pair // batch.num_rows, minlength=len(hashes))
-            row_key = batch.column(0).to_numpy()
-            rows.append(_row(PAIRS, block % 65521, block, batch.num_rows, 0, _planes(per_word.astype(np.uint32)), _planes((pair % batch.num_rows).astype(np.uint32)), _planes(times.astype(np.uint32)), _planes(row_key)))
+            held = batch.column(2).to_numpy(zero_copy_only=False)
+            hashes, place, doc = _tokens(batch.column(3).to_pylist())
+            learn = ~held[doc]
+            rows = cut(UNIGRAMS, block, hashes, np.bincount(place[learn], minlength=len(hashes)))
+            keys, at, spread = _pairs(hashes, place, doc, frequent)
+            for kind, own in ((BIGRAMS, ~spread), (SPREAD, spread)):
+                distinct, which = np.unique(keys[own], return_inverse=True)
+                rows += cut(kind, block, distinct, np.bincount(which[learn[at[own]]], minlength=len(distinct)))
+            ids = batch.column(1)
+            known = np.asarray(ids.is_valid())
+            about = [batch.column(0).to_numpy().astype(np.int64), ids.fill_null(0).to_numpy().astype(np.int64)]
+            flags = known.astype(np.uint8) | held.astype(np.uint8) << 1
+            lengths = np.bincount(doc, minlength=batch.num_rows).astype(np.int64)
+            rows.append(_row(TOKENS, block % 65521, block, batch.num_rows, len(hashes), _pack_sorted(hashes), _planes(place.astype(np.uint32)), _planes(np.concatenate([lengths, *about])), flags.tobytes()))
             for i in range(0, len(rows), 256):
                 yield _record(rows[i : i + 256])
             block += 1
@@ -156,34 +180,78 @@ def _level(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(float))[1].astype(np.int64)
 
 
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    got: dict[tuple[int, int], list[tuple]] = defaultdict(list)
-    for batch in batches:
-        for kind, shard, block, x, y, a, b, c, d in zip(*(col.to_pylist() for col in batch.columns)):
-            if kind == PAIRS:
-                yield _record([(kind, shard, block, x, y, a, b, c, d)])
+def _read_back(keys: np.ndarray, level: np.ndarray, order: int, shard_bits: int) -> np.ndarray:
+    """Levels of a shard's ascending keys as its part of the filter gives them, built and probed region by region."""
+    own = keys & np.uint64((1 << (64 - shard_bits)) - 1)
+    need = max(1, int(level.sum())) * BITS_PER_ENTRY
+    parts = max(0, (-(-need // FILTER_BITS) - 1).bit_length())
+    shift = 64 - shard_bits - parts
+    out = np.zeros(len(keys), np.int64)
+    bounds = np.searchsorted(own, np.arange((1 << parts) + 1, dtype=np.uint64) << np.uint64(shift)) if parts else [0, len(own)]
+    for start, end in zip(bounds[:-1], bounds[1:]):
+        entries = int(level[start:end].sum())
+        if not entries:
+            continue
+        low = own[start:end] & np.uint64((1 << shift) - 1)
+        bits = max(6, (entries * BITS_PER_ENTRY - 1).bit_length())
+        held = level[start:end] > 0
+        batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([order], pa.int32()), pa.array([_pack_sorted(low[held])]), pa.array([_planes(level[start:end][held].astype(np.uint8))])], ["region", "order", "a", "b"])
+        (region,) = _fill(LEAST_LEVEL, shift, bits)(iter([batch]))
+        part = Model(0, 0, 0.0, LEAST_LEVEL, shift, bits, np.frombuffer(region.column(1)[0].as_py(), np.uint8))
+        out[start:end] = part.levels(order, low)
+    return out
+
+
+def _add_up(shard_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[tuple[int, int], list[tuple]] = defaultdict(list)
+        for batch in batches:
+            for kind, shard, block, x, y, a, b, c, d in zip(*(col.to_pylist() for col in batch.columns)):
+                if kind == TOKENS:
+                    yield _record([(kind, shard, block, x, y, a, b, c, d)])
+                else:
+                    got[kind, shard].append((block, a, b))
+        for kind, shard in sorted(got):
+            parts = sorted(got.pop((kind, shard)), key=lambda p: p[0])
+            lists = [_unpack_sorted(p[1]) for p in parts]
+            keys, place = np.unique(np.concatenate(lists), return_inverse=True)
+            total = np.bincount(place, np.concatenate([_unplanes(p[2], np.uint32) for p in parts]), len(keys)).astype(np.int64)
+            true = _level(total)
+            read = _read_back(keys, true, min(kind, BIGRAMS), shard_bits).astype(np.uint8)
+            rows = []
+            if kind == UNIGRAMS:
+                rows += [_row(COUNTED, kind, q, int((true == q).sum()), int(total[true == q].sum())) for q in np.unique(true[true > 0]).tolist()]
             else:
-                got[kind, shard].append((block, a, b))
-    for (kind, shard), parts in sorted(got.items()):
-        parts.sort(key=lambda p: p[0])
-        lists = [_unpack_sorted(p[1]) for p in parts]
-        keys, place = np.unique(np.concatenate(lists), return_inverse=True)
-        total = np.bincount(place, np.concatenate([_unplanes(p[2], np.uint32) for p in parts]), len(keys)).astype(np.int64)
-        if kind == UNIGRAMS:
+                followed = _counts(true)
+                first = keys >> np.uint64(32) if kind == BIGRAMS else keys & np.uint64(0xFFFFFFFF)
+                names, group = np.unique(first, return_inverse=True)
+                sums = np.bincount(group, followed, len(names))
+                different = np.bincount(group, true > 0, len(names))
+                if kind == SPREAD:
+                    rows.append(_row(FREQUENT, 0, 0, len(names), 0, _planes(names), _planes(sums), _planes(different)))
             start = 0
             for (block, _, _), own in zip(parts, lists):
-                yield _record([_row(TOTALS, shard, block, 0, 0, _planes(total[place[start : start + len(own)]].astype(np.uint64)))])
+                mine = place[start : start + len(own)]
                 start += len(own)
-        level = _level(total)
-        rows = [_row(LEVEL, kind, q, int((level == q).sum()), int(total[level == q].sum())) for q in np.unique(level[level > 0]).tolist()]
-        held = level >= LEAST_LEVEL[kind]
-        rows.append(_row(TABLE, shard, kind, 0, 0, _pack_sorted(keys[held]), _planes(level[held].astype(np.uint8))))
-        yield _record(rows)
+                if kind == UNIGRAMS:
+                    rows.append(_row(TOTALS, shard, block, 0, 0, _planes(total[mine].astype(np.uint64))))
+                rows.append(_row((LEVELS_1, LEVELS_2, LEVELS_S)[kind], shard, block, 0, 0, read[mine].tobytes()))
+                if kind == BIGRAMS:
+                    g = group[mine]
+                    g = g[np.r_[True, g[1:] != g[:-1]]]
+                    rows.append(_row(FOLLOWERS, shard, block, 0, 0, _planes(sums[g]), _planes(different[g])))
+                if len(rows) >= 256:
+                    yield _record(rows)
+                    rows = []
+            if rows:
+                yield _record(rows)
+
+    return run
 
 
 @dataclass
 class Model:
-    """Counts and filter of a training corpus."""
+    """A part of the filter, and counts of its corpus."""
 
     n: int
     v: int
@@ -198,21 +266,24 @@ class Model:
         out = np.zeros(len(keys), np.int64)
         alive = np.arange(len(keys))
         for level in range(1, LEVELS):
-            for k in range(HASHES):
-                byte, bit = _place(keys[alive], order, level, k, self.region_shift, self.region_bits)
-                alive = alive[self.filter[byte] >> bit & 1 == 1]
-                if not len(alive):
-                    return out
+            base, g, step = _start(keys[alive], order, level, self.region_shift, self.region_bits)
+            for _ in range(HASHES):
+                at = base | (g & np.uint64((1 << self.region_bits) - 1))
+                there = self.filter[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+                if not there.all():
+                    alive, base, g, step = alive[there], base[there], g[there], step[there]
+                    if not len(alive):
+                        return out
+                g = g + step
             out[alive] = level
         return out
 
 
-def _place(keys: np.ndarray, order: int, level: int, k: int, region_shift: int, region_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Byte of the filter, and bit in it, of the ``k``-th hash of (key, level)."""
+def _start(keys: np.ndarray, order: int, level: int, region_shift: int, region_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first bit of the keys' regions, and the first and the step of their hashes at a level."""
     g = _mixed(keys + np.uint64((order * 64 + level) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-    g += np.uint64(k) * ((g >> np.uint64(32)) | np.uint64(1))
-    at = (keys >> np.uint64(region_shift) << np.uint64(region_bits)) | (g & np.uint64((1 << region_bits) - 1))
-    return (at >> np.uint64(3)).astype(np.int64), (at & np.uint64(7)).astype(np.uint8)
+    base = keys >> np.uint64(region_shift) << np.uint64(region_bits) if region_shift < 64 else np.zeros(len(keys), np.uint64)
+    return base, g, (g >> np.uint64(32)) | np.uint64(1)
 
 
 def _counts(level: np.ndarray) -> np.ndarray:
@@ -221,127 +292,135 @@ def _counts(level: np.ndarray) -> np.ndarray:
 
 
 def _fill(least: tuple[int, int], region_shift: int, region_bits: int):
-    """Regions of the filter, each from the tables of its shards."""
+    """Regions of the filter, each from its tables of n-grams and levels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         regions: dict[int, np.ndarray] = {}
-        size = 1 << (region_bits - 3)
         for batch in batches:
             for region, order, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                bitmap = regions.setdefault(region, np.zeros(size, np.uint8))
+                bits = regions.setdefault(region, np.zeros(1 << region_bits, bool))
                 keys, held = _unpack_sorted(a), _unplanes(b, np.uint8)
                 keys, held = keys[held >= least[order]], held[held >= least[order]]
                 for level in range(1, int(held.max(initial=0)) + 1):
-                    own = keys[held >= level]
-                    for k in range(HASHES):
-                        byte, bit = _place(own, order, level, k, region_shift, region_bits)
-                        np.bitwise_or.at(bitmap, byte - region * size, np.left_shift(np.uint8(1), bit))
-        for region, bitmap in regions.items():
-            yield pa.RecordBatch.from_arrays([pa.array([region], pa.int32()), pa.array([bitmap.tobytes()], pa.binary())], ["region", "bitmap"])
+                    _, g, step = _start(keys[held >= level], order, level, region_shift, region_bits)
+                    for _ in range(HASHES):
+                        bits[(g & np.uint64((1 << region_bits) - 1)).astype(np.int64)] = True
+                        g = g + step
+        for region, bits in regions.items():
+            yield pa.RecordBatch.from_arrays([pa.array([region], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["region", "bitmap"])
 
     return run
 
 
-def _train(added: DataFrame, shard_bits: int) -> Model:
-    """Model from the tables and levels of all shards; the driver gets the levels' counts and the filter."""
-    levels = added.filter(F.col("kind") == LEVEL).groupBy("shard", "block").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect()
-    kinds, mass = ([[0] * (LEVELS + 1) for _ in LEAST_LEVEL] for _ in range(2))
-    for r in levels:
-        kinds[r["shard"]][r["block"]], mass[r["shard"]][r["block"]] = r["x"], r["y"]
-    least = list(LEAST_LEVEL)
-
-    def entries() -> int:
-        return sum(q * kinds[o][q] for o in range(len(least)) for q in range(least[o], LEVELS + 1))
-
-    while entries() * BITS_PER_ENTRY > FILTER_BITS:
-        order = BIGRAMS if least[BIGRAMS] < LEVELS and least[BIGRAMS] <= least[UNIGRAMS] + 4 else UNIGRAMS
-        least[order] += 1
-    region_of = min(shard_bits, MOST_REGIONS.bit_length() - 1)
-    region_bits = max(6, (max(1, entries() * BITS_PER_ENTRY >> region_of) - 1).bit_length())
-    region_bits = min(region_bits, FILTER_BITS.bit_length() - 1 - region_of)
-    shift = 64 - region_of
-    tables = added.filter(F.col("kind") == TABLE).select(F.shiftright("shard", shard_bits - region_of).alias("region"), F.col("block").cast("int").alias("order"), "a", "b")
-    got = tables.repartitionById(1 << region_of, F.col("region")).mapInArrow(_fill(tuple(least), shift, region_bits), "region int, bitmap binary").toArrow()
-    size = 1 << (region_bits - 3)
-    filter_ = np.zeros(size << region_of, np.uint8)
-    for region, bitmap in zip(got["region"].to_pylist(), got["bitmap"].to_pylist()):
-        filter_[region * size : (region + 1) * size] = np.frombuffer(bitmap, np.uint8)
-    pairs = sum(mass[BIGRAMS])
-    weight = sum(m - n for m, n in list(zip(mass[BIGRAMS], kinds[BIGRAMS]))[least[BIGRAMS] :]) / max(1, pairs)
-    return Model(sum(mass[UNIGRAMS]), sum(kinds[UNIGRAMS]), min(0.9, max(0.0, weight)), tuple(least), shift, region_bits, filter_)
-
-
-def _score_blocks(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(**shared.value)
+def _frequent(docs: DataFrame, shards: int) -> np.ndarray:
+    """Hashes (upper 32 bits), ascending, of the words that a sample finds frequent; they decide where counts are added up, not what they are."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            hashes, place, doc = _tokens(batch.column(1).to_pylist())
-            alone = _counts(m.levels(UNIGRAMS, hashes))
-            p = ((alone + 1) / (m.n + m.v + 1))[place]
-            keys, at = _bigrams(hashes, place, doc)
-            before = alone[place[at - 1]]
-            both = np.minimum(_counts(m.levels(BIGRAMS, keys)), before)
-            known = before > 0
-            at, both, before = at[known], both[known], before[known]
-            p[at] = m.weight * both / before + (1 - m.weight) * p[at]
-            score = np.bincount(doc, np.log10(p), batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["row_key", "score"])
+            if batch.num_rows:
+                hashes, place, _ = _tokens(batch.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array((hashes >> np.uint64(32)).astype(np.int64)), pa.array(np.bincount(place, minlength=len(hashes)))], ["h", "n"])
 
-    return run
+    counted = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counted = written(counted)
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    few = counted.filter(F.col("n") > total * FREQUENT_SHARE / shards).orderBy(F.desc("n"), "h").limit(MOST_FREQUENT)
+    return np.sort(few.select("h").toArrow()["h"].to_numpy().astype(np.uint64))
+
+
+def _known(added: DataFrame) -> dict:
+    """What all blocks need: exact n and v, the sum that the unigrams' levels stand for, and followers of the frequent words (bounded)."""
+    levels = added.filter(F.col("kind") == COUNTED).groupBy("block").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect()
+    stands = sum(int(r["x"]) * float(_counts(np.array([r["block"]]))[0]) for r in levels)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, c in zip(*(col.to_pylist() for col in batch.columns)):
+                yield pa.RecordBatch.from_arrays([pa.array(_unplanes(a, np.uint64).astype(np.int64)), pa.array(_unplanes(b, np.float64)), pa.array(_unplanes(c, np.float64))], ["h", "s", "t"])
+
+    rows = added.filter(F.col("kind") == FREQUENT).select("a", "b", "c").mapInArrow(listed, "h long, s double, t double")
+    got = rows.groupBy("h").agg(F.sum("s").alias("s"), F.sum("t").alias("t")).orderBy("h").toArrow()
+    followers = tuple(got[c].to_numpy() for c in ("h", "s", "t"))
+    return {"n": sum(r["y"] for r in levels), "v": sum(r["x"] for r in levels), "stands": stands, "followers": followers}
+
+
+SCORED = "row_key long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _base_of_blocks(n: int, v: int):
-    """Exact add-one scores of each block's documents, from its pairs and the shards' totals."""
+def _score_blocks(told, shared):
+    """Scores of each block's documents, from its tokens and what the shards sent it."""
 
-    def finish(pairs: tuple, totals: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        n_docs, per_word, doc, times, row_key = pairs
-        c = np.concatenate([_unplanes(b, np.uint64) for _, b in sorted(totals)]).astype(float)
-        word = np.repeat(np.arange(len(c)), _unplanes(per_word, np.uint32))
-        doc, times = _unplanes(doc, np.uint32).astype(np.int64), _unplanes(times, np.uint32).astype(float)
-        tokens = np.bincount(doc, times, n_docs)
-        base = np.bincount(doc, times * np.log10(c + 1)[word], n_docs) - tokens * np.log10(n + v + 1)
-        known = np.bincount(doc, times * (c > 0)[word], n_docs)
-        cols = [_unplanes(row_key, np.int64), tokens.astype(np.int64), known.astype(np.int64), base]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["row_key", "n_tokens", "n_known", "base_score"])
+    def finish(tokens: tuple, sent: dict[int, list[tuple]]) -> pa.RecordBatch:
+        frequent, known = told.value, shared.value
+        rows, _, a, b, c, flags = tokens
+
+        def joined(kind: int, column: int, of: type) -> np.ndarray:
+            parts = [_unplanes(p[column], of) if of is not np.uint8 else np.frombuffer(p[column], np.uint8) for p in sorted(sent.get(kind, ()))]
+            return np.concatenate(parts) if parts else np.empty(0, of)
+
+        hashes, place = _unpack_sorted(a), _unplanes(b, np.uint32).astype(np.int64)
+        lengths, row_key, doc_id = _unplanes(c, np.int64).reshape(3, rows)
+        flags = np.frombuffer(flags, np.uint8)
+        doc = np.repeat(np.arange(rows), lengths)
+        total = joined(TOTALS, 1, np.uint64).astype(float)
+        base = np.bincount(doc, np.log10(total + 1)[place], rows) - lengths * np.log10(known["n"] + known["v"] + 1)
+        seen = np.bincount(doc, (total > 0)[place], rows).astype(np.int64)
+
+        alone = (_counts(joined(LEVELS_1, 1, np.uint8).astype(np.int64)) + 1) / (known["stands"] + known["v"] + 1)
+        p = alone[place]
+        keys, at, spread = _pairs(hashes, place, doc, frequent)
+        for kind, own in ((LEVELS_2, ~spread), (LEVELS_S, spread)):
+            if not own.any():
+                continue
+            distinct, which = np.unique(keys[own], return_inverse=True)
+            counts = _counts(joined(kind, 1, np.uint8).astype(np.int64))[which]
+            if kind == LEVELS_2:
+                first = distinct >> np.uint64(32)
+                run = np.cumsum(np.r_[True, first[1:] != first[:-1]]) - 1
+                s, t = (joined(FOLLOWERS, k, np.float64)[run][which] for k in (1, 2))
+            else:
+                names, sums, different = known["followers"]
+                where = np.searchsorted(names, (distinct & np.uint64(0xFFFFFFFF)).astype(np.int64))
+                s, t = sums[where][which], different[where][which]
+            use = s > 0
+            here = at[own][use]
+            p[here] = (counts[use] + t[use] * p[here]) / (s[use] + t[use])
+        score = np.bincount(doc, np.log10(p), rows)
+        ids = pa.array(doc_id, mask=flags & 1 == 0)
+        return pa.RecordBatch.from_arrays([pa.array(row_key), ids, pa.array(flags & 2 > 0), pa.array(lengths), pa.array(seen), pa.array(base), pa.array(score)], [c.split()[0] for c in SCORED.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, pairs, totals = None, None, []
+        block, tokens, sent = None, None, defaultdict(list)
         for batch in batches:
-            for kind, shard, at, x, a, b, c, d in zip(*(col.to_pylist() for col in batch.columns)):
+            for kind, shard, at, x, y, a, b, c, d in zip(*(col.to_pylist() for col in batch.columns)):
                 if at != block:
-                    if pairs:
-                        yield finish(pairs, totals)
-                    block, pairs, totals = at, None, []
-                if kind == PAIRS:
-                    pairs = (x, a, b, c, d)
+                    if tokens:
+                        yield finish(tokens, sent)
+                    block, tokens, sent = at, None, defaultdict(list)
+                if kind == TOKENS:
+                    tokens = (x, y, a, b, c, d)
                 else:
-                    totals.append((shard, a))
-        if pairs:
-            yield finish(pairs, totals)
+                    sent[kind].append((shard, a, b))
+        if tokens:
+            yield finish(tokens, sent)
 
     return run
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """(row_key, doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row per row of ``docs``.
-
-    ``docs`` must deal its rows alike each time it is read, as a stored table does.
-    """
+    """(row_key, doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row per row of ``docs``."""
     spark = docs.sparkSession
     bounded_arrow(spark)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % PARTS == HELD_OUT, F.lit(False))
-    rows = docs.select(scan_id().alias("row_key"), "doc_id", held.alias("held_out"), "text")
+    rows = docs.select(scan_id().alias("row_key"), F.col("doc_id").cast("long"), held.alias("held_out"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shard_bits = max(3, (max(1, -(-size // SHARD_BYTES)) - 1).bit_length())
-    counted = rows.select("row_key", (~F.col("held_out")).alias("learn"), "text").mapInArrow(_count_blocks(shard_bits), BLOCK)
-    # Shards spread by number; a block's pairs only pass through and are spread likewise.
-    added = written(counted.repartitionById(1 << shard_bits, F.col("shard")).mapInArrow(_add_up, BLOCK))
-    model = _train(added, shard_bits)
-    parts = added.filter(F.col("kind").isin(PAIRS, TOTALS)).select("kind", "shard", "block", "x", "a", "b", "c", "d")
+    told = spark.sparkContext.broadcast(_frequent(docs, 1 << shard_bits))
+    counted = rows.mapInArrow(_count_blocks(shard_bits, told), BLOCK)
+    # Shards spread by number; a block's tokens only pass through and are spread likewise.
+    added = written(counted.repartitionById(1 << shard_bits, F.col("shard")).mapInArrow(_add_up(shard_bits), BLOCK))
+    known = _known(added)
+    parts = added.filter(F.col("kind").between(TOKENS, FOLLOWERS))
     parts = parts.repartition(1 << shard_bits, "block").sortWithinPartitions("block")
-    base = parts.mapInArrow(_base_of_blocks(model.n, model.v), "row_key long, n_tokens long, n_known long, base_score double")
-    scored = rows.select("row_key", "text").mapInArrow(_score_blocks(spark.sparkContext.broadcast(vars(model))), "row_key long, score double")
-    out = rows.select("row_key", "doc_id", "held_out").join(base, "row_key").join(scored, "row_key")
-    return out.select("row_key", "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+    out = parts.mapInArrow(_score_blocks(told, spark.sparkContext.broadcast(known)), SCORED)
+    return out.select("row_key", "doc_id", "held_out", "n_tokens", "n_known", F.lit(known["n"]).cast("long").alias("train_tokens"), "base_score", "score")
