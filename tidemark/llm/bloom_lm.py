@@ -63,12 +63,15 @@ BLOCK = "kind int, shard int, block long, x long, y long, a binary, b binary, c
 
 
 def _planes(a: np.ndarray) -> bytes:
-    """Bytes of an array by significance; the many zero bytes of small numbers then lie together."""
-    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes()
+    """Bytes of an array by significance, compressed; the many zero bytes of small numbers lie together. The raw length comes first."""
+    raw = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
 
 def _unplanes(b: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(np.frombuffer(b, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.tobytes(), kind)
+    size = int.from_bytes(b[:8], "little")
+    raw = pa.decompress(b[8:], size, codec="zstd", asbytes=True) if size else b""
+    return np.frombuffer(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.tobytes(), kind)
 
 
 def _pack_sorted(keys: np.ndarray) -> bytes:
@@ -235,7 +238,7 @@ def _add_up(shard_bits: int):
                 start += len(own)
                 if kind == UNIGRAMS:
                     rows.append(_row(TOTALS, shard, block, 0, 0, _planes(total[mine].astype(np.uint64))))
-                rows.append(_row((LEVELS_1, LEVELS_2, LEVELS_S)[kind], shard, block, 0, 0, read[mine].tobytes()))
+                rows.append(_row((LEVELS_1, LEVELS_2, LEVELS_S)[kind], shard, block, 0, 0, _planes(read[mine])))
                 if kind == BIGRAMS:
                     g = group[mine]
                     g = g[np.r_[True, g[1:] != g[:-1]]]
@@ -355,7 +358,7 @@ def _score_blocks(told, shared):
         rows, _, a, b, c, flags = tokens
 
         def joined(kind: int, column: int, of: type) -> np.ndarray:
-            parts = [_unplanes(p[column], of) if of is not np.uint8 else np.frombuffer(p[column], np.uint8) for p in sorted(sent.get(kind, ()))]
+            parts = [_unplanes(p[column], of) for p in sorted(sent.get(kind, ()))]
             return np.concatenate(parts) if parts else np.empty(0, of)
 
         hashes, place = _unpack_sorted(a), _unplanes(b, np.uint32).astype(np.int64)
