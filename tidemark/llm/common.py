@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.scratch import release, scratch_root, written
 
-__all__ = ["ascii_lower", "blocks_for", "bounded_arrow", "join_counted", "release", "scan_id", "scratch_root", "table", "without", "written"]
+__all__ = ["ascii_lower", "blocks_for", "bounded_arrow", "join_counted", "release", "scan_id", "scratch_root", "table", "text_chunks", "without", "written"]
 
 #: Upper bound of the bytes handed to a Python worker in one Arrow batch.
 ARROW_BATCH_BYTES = 8 << 20
@@ -27,6 +30,18 @@ def bounded_arrow(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
+def text_chunks(texts: pa.Array, chars: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
+    """(place of the first, texts) of a batch's texts in runs of about ``chars`` characters, each one text or more."""
+    at = 0
+    while at < len(texts):
+        part, size = [], 0
+        while at + len(part) < len(texts) and (not part or size < chars):
+            part.append(texts[at + len(part)].as_py())
+            size += len(part[-1] or "")
+        yield at, part
+        at += len(part)
+
+
 def blocks_for(total_bytes: int, block_bytes: int, least: int = 8) -> int:
     """Number of equal blocks that keeps each near ``block_bytes``."""
     return max(least, -(-int(total_bytes or 0) // block_bytes))
