@@ -24,7 +24,11 @@ _WIDTH = {False: len(_COUNTS), True: len(_COUNTS) + len(_MOMENTS) + len(C.QUANTI
 
 @dataclass(frozen=True)
 class SqlDialect:
-    """``describe``, ``finite`` and ``quantile`` are templates; numeric types are named without their parameters."""
+    """``describe``, ``finite`` and ``quantile`` are templates; numeric types are named without their parameters.
+
+    ``one_scan``: whether the measures of all columns are asked for at once. Engines that
+    multiply rows for each distinct count of a query are better asked column by column.
+    """
 
     name: str
     describe: str
@@ -33,6 +37,7 @@ class SqlDialect:
     numeric_types: frozenset[str]
     text_type: str = "VARCHAR"
     mark: str = '"'
+    one_scan: bool = True
 
     def quote(self, name: str) -> str:
         return self.mark + name.replace(self.mark, self.mark * 2) + self.mark
@@ -96,6 +101,7 @@ SparkDialect = SqlDialect(
     numeric_types=frozenset(_WHOLE | _OTHER),
     text_type="STRING",
     mark="`",
+    one_scan=False,
 )
 
 
@@ -104,7 +110,7 @@ def spark_executor(spark: SparkSession) -> Execute:
 
 
 class SqlProfileSource:
-    """Profiles of a table's columns from a warehouse: one query for all counts, one a column for its top values."""
+    """Profiles of a table's columns from a warehouse: one query for all counts (or one a column), one a column for its top values."""
 
     def __init__(self, execute: Execute, table: str, *, dialect: SqlDialect, top_k: int = C.TOP_K):
         self.execute, self.table, self.dialect, self.top_k = execute, table, dialect, top_k
@@ -116,14 +122,18 @@ class SqlProfileSource:
             raise EngineError(f"unknown column(s) in {self.table}: {', '.join(missing)}")
         return [(c, self.dialect.is_numeric_type(types[c])) for c in names]
 
-    def _counted(self, chosen: list[tuple[str, bool]]) -> list[Sequence]:
-        rows = [tuple(r) for r in self.execute(self.dialect.table_query(self.table, chosen))]
-        widths = [_WIDTH[numeric] for _, numeric in chosen]
+    def _asked(self, sql: str, widths: list[int]) -> list[Sequence]:
+        rows = [tuple(r) for r in self.execute(sql)]
         if len(rows) != 1 or len(rows[0]) != sum(widths):
             raise EngineError(f"{self.table}: one row of {sum(widths)} measures is expected")
         ends = [sum(widths[: i + 1]) for i in range(len(widths))]
         return [rows[0][end - width : end] for end, width in zip(ends, widths)]
 
+    def _counted(self, chosen: list[tuple[str, bool]]) -> list[Sequence]:
+        if self.dialect.one_scan:
+            return self._asked(self.dialect.table_query(self.table, chosen), [_WIDTH[numeric] for _, numeric in chosen])
+        return [self._asked(self.dialect.aggregate_query(self.table, c, numeric=n), [_WIDTH[n]])[0] for c, n in chosen]
+
     def profile(self, columns: Sequence[str] | None = None) -> dict[str, ColumnProfile]:
         chosen = self._chosen(columns)
         out = {}
