@@ -26,8 +26,8 @@ _WIDTH = {False: len(_COUNTS), True: len(_COUNTS) + len(_MOMENTS) + len(C.QUANTI
 class SqlDialect:
     """``describe``, ``finite`` and ``quantile`` are templates; numeric types are named without their parameters.
 
-    ``one_scan``: whether the measures of all columns are asked for at once. Engines that
-    multiply rows for each distinct count of a query are better asked column by column.
+    ``distinct`` counts a column's values; an engine that multiplies rows for distinct
+    counts beside other aggregates is asked by a subquery.
     """
 
     name: str
@@ -37,7 +37,7 @@ class SqlDialect:
     numeric_types: frozenset[str]
     text_type: str = "VARCHAR"
     mark: str = '"'
-    one_scan: bool = True
+    distinct: str = "COUNT(DISTINCT {c})"
 
     def quote(self, name: str) -> str:
         return self.mark + name.replace(self.mark, self.mark * 2) + self.mark
@@ -51,9 +51,9 @@ class SqlDialect:
     def types_query(self, table: str) -> str:
         return self.describe.format(table=self.quote_table(table))
 
-    def _measures(self, column: str, numeric: bool) -> list[tuple[str, str]]:
+    def _measures(self, table: str, column: str, numeric: bool) -> list[tuple[str, str]]:
         c = self.quote(column)
-        out = [("row_count", "COUNT(*)"), ("null_count", f"COUNT(*) - COUNT({c})"), ("distinct_count", f"COUNT(DISTINCT {c})")]
+        out = [("row_count", "COUNT(*)"), ("null_count", f"COUNT(*) - COUNT({c})"), ("distinct_count", self.distinct.format(c=c, t=self.quote_table(table)))]
         if numeric:
             known = f"CASE WHEN {self.finite.format(c=c)} THEN {c} END"
             calls = dict(zip(_MOMENTS, ("COUNT", "AVG", "STDDEV_SAMP", "MIN", "MAX")))
@@ -63,12 +63,12 @@ class SqlDialect:
 
     def aggregate_query(self, table: str, column: str, *, numeric: bool) -> str:
         """One row: three counts; for numbers also five moments and the quantiles."""
-        listed = ", ".join(f"{e} AS {name}" for name, e in self._measures(column, numeric))
+        listed = ", ".join(f"{e} AS {name}" for name, e in self._measures(table, column, numeric))
         return f"SELECT {listed} FROM {self.quote_table(table)}"
 
     def table_query(self, table: str, columns: Sequence[tuple[str, bool]]) -> str:
         """The measures of all columns (name, whether numeric) in one row and one scan."""
-        listed = [f"{e} AS {name}_{i}" for i, (c, numeric) in enumerate(columns) for name, e in self._measures(c, numeric)]
+        listed = [f"{e} AS {name}_{i}" for i, (c, numeric) in enumerate(columns) for name, e in self._measures(table, c, numeric)]
         return f"SELECT {', '.join(listed)} FROM {self.quote_table(table)}"
 
     def topk_query(self, table: str, column: str, top_k: int) -> str:
@@ -101,7 +101,7 @@ SparkDialect = SqlDialect(
     numeric_types=frozenset(_WHOLE | _OTHER),
     text_type="STRING",
     mark="`",
-    one_scan=False,
+    distinct="(SELECT COUNT(*) FROM (SELECT DISTINCT {c} FROM {t} WHERE {c} IS NOT NULL))",
 )
 
 
@@ -110,7 +110,7 @@ def spark_executor(spark: SparkSession) -> Execute:
 
 
 class SqlProfileSource:
-    """Profiles of a table's columns from a warehouse: one query for all counts (or one a column), one a column for its top values."""
+    """Profiles of a table's columns from a warehouse: one query for all counts, one a column for its top values."""
 
     def __init__(self, execute: Execute, table: str, *, dialect: SqlDialect, top_k: int = C.TOP_K):
         self.execute, self.table, self.dialect, self.top_k = execute, table, dialect, top_k
@@ -122,18 +122,14 @@ class SqlProfileSource:
             raise EngineError(f"unknown column(s) in {self.table}: {', '.join(missing)}")
         return [(c, self.dialect.is_numeric_type(types[c])) for c in names]
 
-    def _asked(self, sql: str, widths: list[int]) -> list[Sequence]:
-        rows = [tuple(r) for r in self.execute(sql)]
+    def _counted(self, chosen: list[tuple[str, bool]]) -> list[Sequence]:
+        rows = [tuple(r) for r in self.execute(self.dialect.table_query(self.table, chosen))]
+        widths = [_WIDTH[numeric] for _, numeric in chosen]
         if len(rows) != 1 or len(rows[0]) != sum(widths):
             raise EngineError(f"{self.table}: one row of {sum(widths)} measures is expected")
         ends = [sum(widths[: i + 1]) for i in range(len(widths))]
         return [rows[0][end - width : end] for end, width in zip(ends, widths)]
 
-    def _counted(self, chosen: list[tuple[str, bool]]) -> list[Sequence]:
-        if self.dialect.one_scan:
-            return self._asked(self.dialect.table_query(self.table, chosen), [_WIDTH[numeric] for _, numeric in chosen])
-        return [self._asked(self.dialect.aggregate_query(self.table, c, numeric=n), [_WIDTH[n]])[0] for c, n in chosen]
-
     def profile(self, columns: Sequence[str] | None = None) -> dict[str, ColumnProfile]:
         chosen = self._chosen(columns)
         out = {}
