@@ -25,8 +25,8 @@ from tidemark.llm.common import ascii_lower, scan_id, written
 
 WINDOW = 10
 GRAM = 5
-#: Bits of the bitmap by which documents skip grams that no benchmark window kept.
-BITMAP_BITS = 1 << 18
+#: Bits of the bitmap by which documents skip grams that no benchmark window kept: eight a window, within these bounds. It decides no result.
+BITMAP_BITS, MOST_BITMAP_BITS = 1 << 18, 1 << 22
 #: Benchmark windows, and item ids in them, up to which they are broadcast (about 100 MB).
 BROADCAST_WINDOWS = 500_000
 BROADCAST_IDS = 4_000_000
@@ -59,37 +59,41 @@ def windows(benchmark: DataFrame) -> DataFrame:
     return rows.groupBy("w.gram", "w.span", "w.len").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
 
 
-def _bitmap(hashes: DataFrame) -> str:
-    """SQL text of an array of 64-bit words in which the bits of ``hashes`` (h) are set."""
-    word = F.shiftright(F.col("h").bitwiseAND(F.lit(BITMAP_BITS - 1)), 6)
+def _bits_for(n: int) -> int:
+    return min(MOST_BITMAP_BITS, max(BITMAP_BITS, 1 << (8 * n - 1).bit_length()))
+
+
+def _bitmap(hashes: DataFrame, size: int) -> str:
+    """SQL text of an array of 64-bit words in which the bits of ``hashes`` (h) are set, of ``size`` bits in all."""
+    word = F.shiftright(F.col("h").bitwiseAND(F.lit(size - 1)), 6)
     bit = F.expr("shiftleft(1L, cast(h & 63 AS int))")
     rows = hashes.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("bits")).collect()
-    out = [0] * (BITMAP_BITS // 64)
+    out = [0] * (size // 64)
     for r in rows:
         out[r["w"]] = r["bits"]
     return f"cast(split('{','.join(map(str, out))}', ',') AS array<bigint>)"
 
 
-def _known(bitmap: str, h: str) -> str:
-    return f"(shiftright(get({bitmap}, cast(shiftright({h} & {BITMAP_BITS - 1}L, 6) AS int)), cast({h} & 63 AS int)) & 1) = 1"
+def _known(bitmap: str, h: str, size: int) -> str:
+    return f"(shiftright(get({bitmap}, cast(shiftright({h} & {size - 1}L, 6) AS int)), cast({h} & 63 AS int)) & 1) = 1"
 
 
 def _candidates(bench: DataFrame) -> str:
     """SQL text: the windows of a document (wh, g) that the benchmark may hold."""
     parts = []
-    lengths = sorted(r["len"] for r in bench.select("len").distinct().collect())
+    lengths = {r["len"]: _bits_for(r["n"]) for r in bench.groupBy("len").agg(F.count(F.lit(1)).alias("n")).orderBy("len").collect()}
     if WINDOW in lengths:
-        bitmap = _bitmap(bench.filter(F.col("len") == WINDOW).select(F.col("gram").alias("h")))
+        bitmap = _bitmap(bench.filter(F.col("len") == WINDOW).select(F.col("gram").alias("h")), lengths[WINDOW])
         first, last = f"greatest(0, i - {SPAN - 1})", f"least(i, size(wh) - {WINDOW})"
         # Gram i is what winnowing keeps of window j: none to its left is less, none to its right as little.
         kept = f"forall(sequence(j, j + {SPAN - 1}), t -> CASE WHEN t <= i THEN get(g, t) >= get(g, i) ELSE get(g, t) > get(g, i) END)"
         own = f"transform(filter(sequence({first}, {last}), j -> {kept}), j -> named_struct('gram', get(g, i), 'span', xxhash64(slice(wh, j + 1, {WINDOW})), 'start', j, 'len', {WINDOW}))"
-        known = f"filter(sequence(0, size(g) - 1), i -> {_known(bitmap, 'get(g, i)')})"
+        known = f"filter(sequence(0, size(g) - 1), i -> {_known(bitmap, 'get(g, i)', lengths[WINDOW])})"
         parts.append((WINDOW, f"flatten(transform({known}, i -> {own}))"))
     for n in (n for n in lengths if n < WINDOW):
-        bitmap = _bitmap(bench.filter(F.col("len") == n).select(F.col("span").alias("h")))
+        bitmap = _bitmap(bench.filter(F.col("len") == n).select(F.col("span").alias("h")), lengths[n])
         spans = f"transform(sequence(0, size(wh) - {n}), j -> named_struct('gram', 0L, 'span', xxhash64(slice(wh, j + 1, {n})), 'start', j, 'len', {n}))"
-        parts.append((n, f"filter({spans}, x -> {_known(bitmap, 'x.span')})"))
+        parts.append((n, f"filter({spans}, x -> {_known(bitmap, 'x.span', lengths[n])})"))
     none = "cast(array() AS array<struct<gram: bigint, span: bigint, start: int, len: int>>)"
     return "concat(" + ", ".join([none, *(f"CASE WHEN size(wh) >= {n} THEN {x} ELSE {none} END" for n, x in parts)]) + ")"
 

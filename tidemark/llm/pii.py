@@ -3,7 +3,7 @@
 Base spans are what four patterns find and their checks let pass. Looser patterns add
 candidates: numbers and addresses in other spellings, and secrets. Labelers of three
 kinds vote on every candidate (for, against, or not at all): patterns on the match,
-gazetteers of words in it, and cue words in the text before it. Expectation
+gazetteers (tables of words, by token) in it and before it, and cues in the text before it. Expectation
 maximisation over the counted vote patterns estimates how reliable each labeler is
 and how probable each pattern's candidates are to be personal data. With these
 probabilities as labels a logistic span classifier is fitted on features of the
@@ -68,16 +68,43 @@ _PLACEHOLDERS = r"(?i)xxxx|0000000|1234567|example_|changeme|your[_-]"
 _CUES = r"(?i)(?:mail|contact|write|phone|tel|call|mobile|fax|card|visa|account|iban|address|login|user|password|secret|token|key|ssn|passport|name)\W*(?:\w+\W+){0,3}$"
 _NOT_CUES = r"(?i)(?:version|release|license|licence|chapter|section|page|figure|table|isbn|issn|doi|copyright|price|total|year)\W*(?:\w+\W+){0,2}$"
 
+# Gazetteers: tables of words, looked up by token in the last words before a match or in the match.
+GAZETTEERS = {
+    "phone": ("phone", "phones", "telephone", "tel", "call", "calls", "ring", "dial", "mobile", "cell", "fax", "sms", "text", "whatsapp", "hotline", "telefon", "handy", "anrufen", "rufnummer", "téléphone", "appelez", "portable", "teléfono", "llame", "móvil"),
+    "mail": ("mail", "email", "e-mail", "write", "contact", "reach", "reply", "send", "schreiben", "kontakt", "écrire", "contacter", "courriel", "escribir", "correo", "contacto"),
+    "identity": ("ssn", "social", "security", "passport", "taxpayer", "citizen", "identity", "id", "license", "ausweis", "steuernummer", "sozialversicherung", "passeport", "identité", "pasaporte", "dni"),
+    "secret": ("password", "passwd", "secret", "token", "key", "apikey", "credential", "login", "passwort", "kennwort", "schlüssel", "mot", "passe", "clé", "contraseña", "clave"),
+    "count": ("total", "sum", "price", "amount", "isbn", "issn", "doi", "page", "pages", "version", "release", "build", "chapter", "section", "figure", "table", "year", "on", "dated", "order", "invoice", "part", "serial", "model", "lot", "room", "seite", "kapitel", "preis", "jahr", "prix", "année", "página", "precio", "año", "copyright"),
+    "placeholder": ("changeme", "changeme1", "example", "sample", "dummy", "test", "placeholder", "none", "null", "redacted", "undefined", "your", "xxxx", "password1"),
+}
+
+
+def _words_in(text: str, name: str) -> str:
+    """SQL text: whether a word of a gazetteer is among the tokens of ``text``."""
+    listed = ", ".join(f"'{w}'" for w in GAZETTEERS[name])
+    return rf"arrays_overlap(split(lower({text}), '[^\p{{L}}\p{{N}}-]+'), array({listed}))"
+
+
+#: The last three words before a match, and what a secret's name is followed by.
+_NEAR = r"regexp_extract(before, '((?:[^\p{L}\p{N}]*[\p{L}\p{N}-]+){0,3})[^\p{L}\p{N}]*$', 1)"
+_VALUE = "regexp_extract(s, '[=:](.*)$', 1)"
+_OWN_WORD = f"CASE kind WHEN 0 THEN {_words_in(_NEAR, 'mail')} WHEN 3 THEN {_words_in(_NEAR, 'phone')} WHEN 4 THEN {_words_in(_NEAR, 'secret')} WHEN 5 THEN {_words_in(_NEAR, 'identity')} ELSE false END"
+_COUNT_WORD = f"kind IN (2, 3, 5) AND {_words_in(_NEAR, 'count')}"
+_PLACEHOLDER_WORD = f"kind = 4 AND {_words_in('s', 'placeholder')}"
+
 _DIGITS = "regexp_replace(s, '[^0-9]', '')"
 #: Votes: 1 for, -1 against, 0 none. The first three read the match's shape, the next two its words, the last two its context.
 LABELERS = (
     ("shape", "CASE WHEN base THEN IF(valid, 1, -1) ELSE 0 END"),
-    ("digits", f"CASE WHEN kind IN (2, 3, 5) THEN IF(length({_DIGITS}) BETWEEN 9 AND 19, 1, -1) WHEN kind = 4 THEN IF(s RLIKE '[0-9].*[A-Za-z]|[A-Za-z].*[0-9]', 1, -1) ELSE 0 END"),
+    ("digits", f"CASE WHEN kind = 3 AND length({_DIGITS}) = 9 THEN 0 WHEN kind IN (2, 3, 5) THEN IF(length({_DIGITS}) BETWEEN 9 AND 19, 1, -1) WHEN kind = 4 AND s RLIKE '^AKIA' THEN 1 WHEN kind = 4 THEN IF(length(regexp_replace({_VALUE}, '[^0-9]', '')) >= 3, 1, -1) ELSE 0 END"),
     ("grouping", r"CASE WHEN kind = 3 AND s RLIKE '^[0-9]{4}[ .-][0-9]{2}[ .-][0-9]{2}$' THEN -1 WHEN kind = 3 AND s RLIKE '[()]|[0-9]{3}.[0-9]{3}.[0-9]{4}$' THEN 1 WHEN kind = 1 AND s RLIKE '^[0-9][.][0-9][.][0-9][.][0-9]$' THEN -1 ELSE 0 END"),
     ("gazetteer", f"CASE WHEN kind = 0 AND s RLIKE '{_PROVIDERS}' THEN 1 WHEN kind = 4 AND s RLIKE '{_KEY_WORDS}' THEN 1 ELSE 0 END"),
     ("placeholder", f"CASE WHEN s RLIKE '{_PLACEHOLDERS}' THEN -1 ELSE 0 END"),
     ("cue", f"CASE WHEN before RLIKE '{_CUES}' THEN 1 ELSE 0 END"),
     ("other_cue", f"CASE WHEN before RLIKE '{_NOT_CUES}' THEN -1 ELSE 0 END"),
+    ("own_word", f"IF({_OWN_WORD}, 1, 0)"),
+    ("count_word", f"IF({_COUNT_WORD}, -1, 0)"),
+    ("placeholder_word", f"IF({_PLACEHOLDER_WORD}, -1, 0)"),
 )
 #: Features of the span classifier: each a condition.
 FEATURES = (
@@ -92,6 +119,11 @@ FEATURES = (
     f"length({_DIGITS}) * 2 > length(s)",
     f"before RLIKE '{_CUES}'",
     f"before RLIKE '{_NOT_CUES}'",
+    _OWN_WORD,
+    _COUNT_WORD,
+    f"({_PLACEHOLDER_WORD}) OR s RLIKE '{_PLACEHOLDERS}'",
+    f"kind = 3 AND length({_DIGITS}) > 9",
+    f"kind = 4 AND length(regexp_replace({_VALUE}, '[^0-9]', '')) < 3 AND NOT s RLIKE '^AKIA'",
 )
 
 
@@ -150,11 +182,14 @@ def estimate(counts: dict[tuple[int, tuple[int, ...]], int], rounds: int = 40) -
     each labeler its estimated vote frequencies given either answer.
     """
     n_labelers = len(LABELERS)
+    # Pseudo-counts in proportion to the candidates: cast votes are held to be right more often than wrong, at every size.
+    weight = max(30.0, 0.25 * sum(counts.values()))
+    believed = {True: 0.6 * weight, False: 0.1 * weight}
     post = {key: min(0.95, max(0.05, 0.5 + 0.25 * sum(key[1]))) for key in counts}
     tables: list[dict] = []
     for _ in range(rounds):
         prior: dict[int, list[float]] = defaultdict(lambda: [1.0, 1.0])
-        tables = [{(y, v): 1.0 for y in (0, 1) for v in (-1, 0, 1)} for _ in range(n_labelers)]
+        tables = [{(y, v): 0.3 * weight if v == 0 else believed[(v == 1) == (y == 1)] for y in (0, 1) for v in (-1, 0, 1)} for _ in range(n_labelers)]
         for (kind, votes), n in sorted(counts.items()):
             p = post[kind, votes]
             prior[kind][1] += n * p
