@@ -183,7 +183,7 @@ def estimate(counts: dict[tuple[int, tuple[int, ...]], int], rounds: int = 40) -
     """
     n_labelers = len(LABELERS)
     # Pseudo-counts in proportion to the candidates: cast votes are held to be right more often than wrong, at every size.
-    weight = max(30.0, 0.25 * sum(counts.values()))
+    weight = max(30.0, 0.05 * sum(counts.values()))
     believed = {True: 0.6 * weight, False: 0.1 * weight}
     post = {key: min(0.95, max(0.05, 0.5 + 0.25 * sum(key[1]))) for key in counts}
     tables: list[dict] = []
