@@ -12,6 +12,7 @@ from tidemark import constants as C
 from tidemark.evaluation.scenarios import SCENARIOS, scenario_symptoms
 from tidemark.operators.calibration import LogisticModel, out_of_fold, reliability
 from tidemark.operators.detect import detect, with_features
+from tidemark.operators.inject import first_drawn
 from tidemark.operators.profile import profile
 from tidemark.scratch import written
 
@@ -42,11 +43,8 @@ def default_grid(values: Sequence[tuple[str, str]]) -> list[GridPoint]:
 
 def keyed_splits(df: DataFrame, points: Sequence[tuple[str, int, str]], key: str) -> DataFrame:
     """The first 2n rows of each point (name, n, seed) in the order of md5 of key and seed, with ``point``, ``place`` and ``n``."""
-    told = F.array(*[F.struct(F.lit(p).alias("point"), F.lit(n).alias("n"), F.lit(s).alias("seed")) for p, n, s in points])
-    dealt = df.withColumn("p_", F.explode(told)).select(*df.columns, "p_.point", "p_.n", "p_.seed")
-    draw = F.md5(F.concat(F.col(key).cast("string"), F.lit("-"), F.col("seed")))
-    place = F.row_number().over(Window.partitionBy("point").orderBy(draw, key))
-    return dealt.withColumn("place", place).filter(F.col("place") <= 2 * F.col("n")).drop("seed")
+    sizes = F.create_map(*[F.lit(x) for p, n, _ in points for x in (p, n)])
+    return first_drawn(df, [(p, 2 * n, s) for p, n, s in points], key, "point").withColumn("n", F.element_at(sizes, F.col("point")))
 
 
 def renamed(rows: DataFrame, grid: Sequence[tuple[str, GridPoint]]) -> DataFrame:

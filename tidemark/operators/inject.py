@@ -55,6 +55,30 @@ def stretch(df: DataFrame, column: str, pivot: float, factor: float) -> DataFram
     return df.withColumn(column, F.when(F.col(column) > pivot, F.col(column) * F.lit(factor)).otherwise(F.col(column)))
 
 
+def first_drawn(df: DataFrame, points: Sequence[tuple[int | str, int, str]], key: str, name: str) -> DataFrame:
+    """The first rows of each point (value of the column ``name``, rows, seed), in the order of md5 of key and seed, with ``place``.
+
+    Every row's hash is made for every point, and only hashes below a point's bound meet:
+    bounds under which, of so many even hashes, more than the rows asked for lie. A point
+    that finds fewer, as where keys repeat, raises all bounds, to none in the end.
+    """
+    total, slack = df.count(), 1
+    head = df.withColumn("head_", F.concat(F.col(key).cast("string"), F.lit("-")))
+    while True:
+        shares = [slack * (k + 8 * k**0.5 + 16) / total if total else 1 for _, k, _ in points]
+        # Digits of md5 come before "g".
+        bounds = [f"{int(share * 2**64):016x}" if share < 1 else "g" for share in shares]
+        told = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(k).alias("k"), F.lit(s).alias("s"), F.lit(b).alias("b")) for (p, k, s), b in zip(points, bounds)])
+        dealt = head.withColumn("at_", F.explode(told)).withColumn("draw_", F.md5(F.concat("head_", "at_.s")))
+        dealt = dealt.filter(F.col("draw_").isNull() | (F.col("draw_") < F.col("at_.b")))
+        near = written(dealt.select(*df.columns, F.col("at_.p").alias(name), F.col("at_.k").alias("k_"), "draw_"))
+        found = {r[0]: r[1] for r in near.groupBy(name).agg(F.count(F.lit(1))).collect()}
+        if all(found.get(p, 0) >= min(k, total) for p, k, _ in points):
+            place = F.row_number().over(Window.partitionBy(name).orderBy("draw_", key))
+            return near.withColumn("place", place).filter("place <= k_").drop("k_", "draw_")
+        slack *= 8
+
+
 def two_sample_splits(df: DataFrame, n: int, trials: int, key: str, *, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Disjoint halves of ``n`` rows for each trial (column ``trial``), in the order of md5 of key and seed.
 
