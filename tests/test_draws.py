@@ -36,9 +36,31 @@ def test_splits_of_many_points_move_few_rows(spark):
         assert own == [(i, k, 2 * k, n) for i, (_, k) in enumerate(first(range(30000), 2 * n, seed), 1)]
 
 
+def test_splits_of_trials_move_few_rows(spark):
+    df = spark.range(20000)
+    got = []
+
+    def run():
+        for side in inject.two_sample_splits(df, 600, 10, "id", seed=3):
+            got.append({(r["trial"], r["id"]) for r in side.collect()})
+
+    assert rows_moved(spark, run) < 50000
+    for t in range(10):
+        drawn = [k for _, k in first(range(20000), 1200, t + 3)]
+        assert {k for u, k in got[0] if u == t} == set(drawn[:600]) and {k for u, k in got[1] if u == t} == set(drawn[600:])
+
+
 def test_keys_that_repeat(spark):
     """Hashes are few and uneven, so that the first bounds find too little."""
     rows = inject.first_drawn(spark.range(5000).selectExpr("id % 3 AS k", "id"), [(0, 100, "0"), (1, 4000, "1"), (2, 9000, "2")], "k", "trial").collect()
     for t, n in ((0, 100), (1, 4000), (2, 5000)):
         own = sorted((r["place"], r["k"]) for r in rows if r["trial"] == t)
         assert own == [(i, k) for i, (_, k) in enumerate(first([i % 3 for i in range(5000)], n, t), 1)]
+
+
+def test_few_rows_and_none(spark):
+    for n in (0, 1, 7):
+        a, b = inject.two_sample_splits(spark.range(n), 5, 2, "id")
+        assert a.count() + b.count() == 2 * n
+    a, b = inject.two_sample_splits(spark.createDataFrame([(None,), (4,)], "id long"), 1, 1, "id")
+    assert [r["id"] for r in a.collect()] == [None] and [r["id"] for r in b.collect()] == [4]

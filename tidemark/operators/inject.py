@@ -80,15 +80,8 @@ def first_drawn(df: DataFrame, points: Sequence[tuple[int | str, int, str]], key
 
 
 def two_sample_splits(df: DataFrame, n: int, trials: int, key: str, *, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Disjoint halves of ``n`` rows for each trial (column ``trial``), in the order of md5 of key and seed.
-
-    The first 2n hashes of each trial are found per task before they meet; the rows
-    drawn, 2n for each trial, are written once.
-    """
-    dealt = df.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    dealt = dealt.withColumn("draw", F.md5(F.concat(F.col(key).cast("string"), F.lit("-"), (F.col("trial") + seed).cast("string"))))
-    dealt = dealt.withColumn("place", F.row_number().over(Window.partitionBy("trial").orderBy("draw", key))).filter(F.col("place") <= 2 * n)
-    dealt = written(dealt.drop("draw"))
+    """Disjoint halves of ``n`` rows for each trial (column ``trial``), in the order of md5 of key and seed."""
+    dealt = written(first_drawn(df, [(t, 2 * n, str(t + seed)) for t in range(trials)], key, "trial"))
     return dealt.filter(F.col("place") <= n).drop("place"), dealt.filter(F.col("place") > n).drop("place")
 
 
