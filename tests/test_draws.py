@@ -3,7 +3,8 @@
 import hashlib
 
 from pyspark.sql import functions as F
-from tidemark.evaluation import dataset
+from tidemark.evaluation import dataset, runner
+from tidemark.evaluation.registry import RealDataset
 from tidemark.operators import inject
 
 
@@ -64,3 +65,9 @@ def test_few_rows_and_none(spark):
         assert a.count() + b.count() == 2 * n
     a, b = inject.two_sample_splits(spark.createDataFrame([(None,), (4,)], "id long"), 1, 1, "id")
     assert [r["id"] for r in a.collect()] == [None] and [r["id"] for r in b.collect()] == [4]
+
+
+def test_registry_moves_few_rows(spark):
+    df = spark.range(60000).selectExpr("id AS k", "CAST(id % 4 AS STRING) AS c")
+    sets = [RealDataset("d", "x", lambda _: df, "k", ("c",), ())]
+    assert rows_moved(spark, lambda: runner.run_registry(spark, sets, n=700, trials=10).rates.collect()) < 60000
