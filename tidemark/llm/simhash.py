@@ -233,16 +233,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id.
+    """One document of each group of near duplicates: the one with the smallest doc_id.
 
-    Near copies have a Jaccard similarity of 0.8 or more over 5-word shingles, where
-    fingerprints differ in up to 11 bits and more; they are found by ``near_copies`` and
-    not by fingerprints, so that none is missed. Rows that repeat doc_id and text count as
-    one document, of which the row whose columns hash least stays; rows of one doc_id and
+    Near copies have a Jaccard similarity of 0.8 or more over 5-word shingles. Pairs come
+    from fingerprints that differ in ``THRESHOLD`` bits or fewer, by ``links``, and are
+    confirmed by that similarity. Most near copies differ in more bits, up to 11 and
+    beyond: ``near_copies`` adds those, so that none is missed.
+    Rows that repeat doc_id and text count as one document, of which the row whose columns hash least stays; rows of one doc_id and
     unlike texts are told apart. Rows without a doc_id, which a group cannot name, are all
     kept.
     """
-    found = near_copies.grouped(docs.filter("doc_id IS NOT NULL"))
+    found = near_copies.grouped(docs.filter("doc_id IS NOT NULL"), fingerprint, links)
     kept = found.filter(F.struct("doc_id", "text_hash") == F.col("top")).select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
     names = [f"c{i}" for i in range(len(docs.columns))]
     at, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
