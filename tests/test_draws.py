@@ -4,22 +4,22 @@ import hashlib
 
 from pyspark.sql import functions as F
 from tidemark.evaluation import dataset, runner
-from tidemark.evaluation.registry import RealDataset
-from tidemark.operators import inject
+from tidemark.evaluation.registry import RealDataset, Recipe
+from tidemark.operators import evaluate, inject
 
 
 def first(keys, n, seed):
     return sorted((hashlib.md5(f"{k}-{seed}".encode()).hexdigest(), k) for k in keys)[:n]
 
 
-def rows_moved(spark, run):
-    """Records that ``run`` writes for shuffles."""
+def rows_moved(spark, run, kind="shuffleWriteRecords"):
+    """Records that ``run`` writes for shuffles, or as another metric of stages has it."""
     store = spark.sparkContext._jsc.sc().statusStore()
     none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
 
     def stages():
         listed = store.stageList(None, False, False, none, None)
-        return {(listed.apply(i).stageId(), listed.apply(i).attemptId()): listed.apply(i).shuffleWriteRecords() for i in range(listed.size())}
+        return {(listed.apply(i).stageId(), listed.apply(i).attemptId()): getattr(listed.apply(i), kind)() for i in range(listed.size())}
 
     before = stages()
     run()
@@ -71,3 +71,18 @@ def test_registry_moves_few_rows(spark):
     df = spark.range(60000).selectExpr("id AS k", "CAST(id % 4 AS STRING) AS c")
     sets = [RealDataset("d", "x", lambda _: df, "k", ("c",), ())]
     assert rows_moved(spark, lambda: runner.run_registry(spark, sets, n=700, trials=10).rates.collect()) < 60000
+
+
+def test_registry_draws_once_for_all_sizes(spark):
+    """Halves of 300, 700 and 1000 rows are the first of one draw, and the checks those of draws of their own."""
+    df = spark.range(20000).selectExpr("id AS k", "CAST(id % 4 AS STRING) AS c")
+    change = lambda d: inject.substitute(d, "c", "1", "x")
+    sets = [RealDataset("d", "x", lambda _: df, "k", ("c",), tuple(Recipe("value_substitution", "c", change, n) for n in (300, 1000)))]
+    report = []
+    # A trial writes the rows below the bound (2,374 are expected) and the 2,000 drawn.
+    assert rows_moved(spark, lambda: report.append(runner.run_registry(spark, sets, n=700, trials=5)), "outputRecords") < 5 * 4600
+    columns = ["trial", "hit", "confidence"]
+    silent = evaluate.real_vs_real(df, ["c"], 700, 5, "k").selectExpr("trial", "n_fired > 0 AS hit", "confidence")
+    assert sorted(report[0].checks.filter("kind = 'unchanged'").select(columns).collect()) == sorted(silent.collect())
+    alone = [r for n in (300, 1000) for r in evaluate.injected_recall(df, [("value_substitution", "c", change)], n, 5, "k").select(columns).collect()]
+    assert sorted(report[0].checks.filter("kind = 'injected'").select(columns).collect()) == sorted(alone)

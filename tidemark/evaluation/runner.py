@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.evaluation.registry import RealDataset, loadable
 from tidemark.operators import evaluate
 from tidemark.operators.calibration import render_reliability
+from tidemark.operators.inject import drawn_trials
 from tidemark.scratch import written
 
 
@@ -39,14 +40,17 @@ class EvalReport:
 def _checks(spark: SparkSession, dataset: RealDataset, n: int, trials: int, seed: int) -> DataFrame:
     df = dataset.load(spark)
     most = df.count() // 2
-    silent = evaluate.real_vs_real(df, dataset.columns, min(n, most), trials, dataset.key, seed=seed)
-    out = silent.select(F.lit("unchanged").alias("kind"), "column", "trial", (F.col("n_fired") > 0).alias("hit"), "confidence")
     sizes = {r.n for r in dataset.recipes}
+    columns = dict.fromkeys([dataset.key, *dataset.columns, *(r.column for r in dataset.recipes)])
+    # Smaller halves are the first of larger ones: each row is hashed once a trial for all sizes.
+    drawn = drawn_trials(df.select(*columns), min(max([n, *sizes]), most), trials, dataset.key, seed=seed)
+    silent = evaluate.real_vs_real(df, dataset.columns, min(n, most), trials, dataset.key, seed=seed, drawn=drawn)
+    out = silent.select(F.lit("unchanged").alias("kind"), "column", "trial", (F.col("n_fired") > 0).alias("hit"), "confidence")
     for size in sorted(sizes):
         recipes = [(r.signature, r.column, r.inject) for r in dataset.recipes if r.n == size]
-        found = evaluate.injected_recall(df, recipes, min(size, most), trials, dataset.key, seed=seed)
-        columns = F.create_map(*[F.lit(x) for s, c, _ in recipes for x in (s, c)])
-        out = out.unionByName(found.select(F.lit("injected").alias("kind"), F.element_at(columns, F.col("dataset")).alias("column"), "trial", "hit", "confidence"))
+        found = evaluate.injected_recall(df, recipes, min(size, most), trials, dataset.key, seed=seed, drawn=drawn)
+        column_of = F.create_map(*[F.lit(x) for s, c, _ in recipes for x in (s, c)])
+        out = out.unionByName(found.select(F.lit("injected").alias("kind"), F.element_at(column_of, F.col("dataset")).alias("column"), "trial", "hit", "confidence"))
     return out.select(F.lit(dataset.id).alias("dataset"), F.lit(dataset.domain).alias("domain"), *out.columns)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.detect import detect, with_confidence
-from tidemark.operators.inject import two_sample_splits
+from tidemark.operators.inject import halves, two_sample_splits
 from tidemark.operators.profile import profile
 
 
@@ -41,9 +41,18 @@ def trial_symptoms(before: DataFrame, after: DataFrame, columns: Sequence[str])
     return with_confidence(detect(b, a, by=["trial"]))
 
 
-def real_vs_real(df: DataFrame, columns: Sequence[str], n: int, trials: int, key: str, *, seed: int = 0) -> DataFrame:
-    """(trial, column, n_fired, confidence): checks of halves that differ by chance only; what fires is false."""
-    before, after = two_sample_splits(df.select(key, *columns), n, trials, key, seed=seed)
+def _splits(df: DataFrame, columns: Sequence[str], n: int, trials: int, key: str, seed: int, drawn: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    if drawn is None:
+        return two_sample_splits(df.select(key, *columns), n, trials, key, seed=seed)
+    return halves(drawn.select(key, *columns, "trial", "place"), n)
+
+
+def real_vs_real(df: DataFrame, columns: Sequence[str], n: int, trials: int, key: str, *, seed: int = 0, drawn: DataFrame | None = None) -> DataFrame:
+    """(trial, column, n_fired, confidence): checks of halves that differ by chance only; what fires is false.
+
+    ``drawn``: ``drawn_trials`` of ``df`` with the same trials and seed and ``n`` or more, which saves the draw.
+    """
+    before, after = _splits(df, columns, n, trials, key, seed, drawn)
     found = trial_symptoms(before, after, columns)
     checks = df.sparkSession.range(trials).select(F.col("id").cast("int").alias("trial"), F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"))
     fired = found.groupBy("trial", "column").agg(F.count(F.lit(1)).alias("n_fired"), F.max("confidence").alias("confidence"))
@@ -55,14 +64,14 @@ def real_vs_real(df: DataFrame, columns: Sequence[str], n: int, trials: int, key
 Recipe = tuple[str, str, Callable[[DataFrame], DataFrame]]
 
 
-def injected_recall(df: DataFrame, recipes: Sequence[Recipe], n: int, trials: int, key: str, *, seed: int = 0) -> DataFrame:
+def injected_recall(df: DataFrame, recipes: Sequence[Recipe], n: int, trials: int, key: str, *, seed: int = 0, drawn: DataFrame | None = None) -> DataFrame:
     """(dataset, trial, hit, confidence): whether each recipe's injection into the second half of a trial is found.
 
     All recipes share the halves; recipe and trial are keys of one profile job a side.
-    ``dataset`` is the signature.
+    ``dataset`` is the signature; ``drawn`` is as in ``real_vs_real``.
     """
     columns = list(dict.fromkeys(c for _, c, _ in recipes))
-    before, after = two_sample_splits(df.select(key, *columns), n, trials, key, seed=seed)
+    before, after = _splits(df, columns, n, trials, key, seed, drawn)
     changed = None
     for signature, _, inject in recipes:
         part = inject(after).withColumn("dataset", F.lit(signature))

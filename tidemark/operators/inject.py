@@ -79,10 +79,20 @@ def first_drawn(df: DataFrame, points: Sequence[tuple[int | str, int, str]], key
         slack *= 8
 
 
+def drawn_trials(df: DataFrame, n: int, trials: int, key: str, *, seed: int = 0) -> DataFrame:
+    """The first 2n rows of each trial (column ``trial``), in the order of md5 of key and seed, with ``place``, written."""
+    return written(first_drawn(df, [(t, 2 * n, str(t + seed)) for t in range(trials)], key, "trial"))
+
+
+def halves(drawn: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Halves of ``n`` rows for each trial, from ``drawn_trials`` of at least as many."""
+    place = F.col("place")
+    return drawn.filter(place <= n).drop("place"), drawn.filter((place > n) & (place <= 2 * n)).drop("place")
+
+
 def two_sample_splits(df: DataFrame, n: int, trials: int, key: str, *, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Disjoint halves of ``n`` rows for each trial (column ``trial``), in the order of md5 of key and seed."""
-    dealt = written(first_drawn(df, [(t, 2 * n, str(t + seed)) for t in range(trials)], key, "trial"))
-    return dealt.filter(F.col("place") <= n).drop("place"), dealt.filter(F.col("place") > n).drop("place")
+    return halves(drawn_trials(df, n, trials, key, seed=seed), n)
 
 
 def seeded_sample(df: DataFrame, n: int, key: str, *, seed: int = 0) -> DataFrame:
